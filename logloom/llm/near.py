@@ -144,20 +144,33 @@ class Meeting:
 
 
 def _meet(threshold: float):
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        element, low, high = int(group["element"].iloc[0]), int(group["low"].iloc[0]), int(group["high"].iloc[0])
-        kind, chunk = group["kind"].iloc[0], dict(zip(group["class"], group["chunk"], strict=True))
-        meeting = Meeting([(c, list(map(int, xs))) for c, xs in zip(group["class"], group["xs"], strict=True)], threshold)
-        rank = {c: {x: k for k, x in enumerate(xs)} for c, xs in meeting.sets}
-        rows = []
+    def pairs(kind: str, element: int, low: int, high: int, chunk: dict[str, int], sets: list) -> list[tuple]:
+        meeting, rows = Meeting(sets, threshold), []
+        rank = [frozenset(xs[: prefix(threshold, len(xs))]) for _, xs in meeting.sets]
         for i, j, c in meeting.answers():
             (a, xs), (b, _) = meeting.sets[i], meeting.sets[j]
             if low != high and chunk[a] == chunk[b]:
                 continue  # found where the chunk meets itself
-            first = next(x for x in xs if x in rank[b])
+            first = next(x for x in xs if x in rank[j])
             if first == element:  # else the pair belongs to the meeting of an earlier element
                 rows.append((kind, min(a, b), max(a, b), c / (meeting.sizes[i] + meeting.sizes[j] - c)))
-        return pd.DataFrame(rows, columns=["kind", "class_a", "class_b", "similarity"])
+        return rows
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Meetings follow each other: rows come sorted by them."""
+        columns, at, chunk, sets = ["kind", "class_a", "class_b", "similarity"], None, {}, []
+        for batch in batches:
+            rows = []
+            for kind, element, low, high, c, cls, xs in zip(batch["kind"], batch["element"], batch["low"], batch["high"], batch["chunk"], batch["class"], batch["xs"], strict=True):
+                if at != (kind, element, low, high):
+                    if len(sets) > 1:
+                        rows += pairs(*at, chunk, sets)
+                    at, chunk, sets = (kind, element, low, high), {}, []
+                chunk[cls] = c
+                sets.append((cls, xs.tolist()))
+            yield pd.DataFrame(rows, columns=columns)
+        if len(sets) > 1:
+            yield pd.DataFrame(pairs(*at, chunk, sets), columns=columns)
 
     return meet
 
@@ -177,8 +190,9 @@ def class_pairs(found: DataFrame, threshold: float = THRESHOLD, chunk: int = CHU
     own = F.pmod(F.xxhash64("class"), pieces).cast("int")
     live = live.select("kind", "class", "element", own.alias("chunk"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("other"))
     live = live.select("kind", "class", "element", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    met = live.join(ordered.select("kind", "class", "xs"), ["kind", "class"]).groupBy("kind", "element", "low", "high")
-    return met.applyInPandas(_meet(threshold), "kind string, class_a string, class_b string, similarity double")
+    key = ["kind", "element", "low", "high"]
+    met = live.join(ordered.select("kind", "class", "xs"), ["kind", "class"]).repartition(*key).sortWithinPartitions(*key)
+    return met.mapInPandas(_meet(threshold), "kind string, class_a string, class_b string, similarity double")
 
 
 def row_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.hosts import host_zones, norm_word
 from logloom.functions.session import sized, stored, table
-from logloom.llm import credentials, leaks, near, runs
+from logloom.llm import credentials, leaks, mixing, near, reading, runs
 from logloom.operators import timestamps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,32 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.cleaned(documents, found).select("doc_id", "n_chars")
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = stored(mixing.token_counts(table(spark, sf_dir, "documents")), "sizes")
+    return mixing.select(sizes, table(spark, sf_dir, "mix_target"))
+
+
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return _mixture(spark, sf_dir)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and the shares reached."""
+    return mixing.report(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return reading.levels(documents, reading.fit(documents, table(spark, sf_dir, "reading_label")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_levels(spark, sf_dir).where("band >= 4").select("doc_id").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p5_found, p5_redacted, p6_found, p6_links, p7_found, p7_cleaned)}
+    return {f.__name__: f for f in (p4_found, p5_found, p5_redacted, p6_found, p6_links, p7_found, p7_cleaned, p8_selection, p8_shares, p9_found, p9_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
