@@ -132,7 +132,7 @@ def marked(lines: DataFrame) -> DataFrame:
             F.when(rule == "json", _key(x, "ts|time|timestamp")).otherwise(_by_rule(x, rule, "ts", {})).alias("ts"),
             F.coalesce(named, severity(word)).alias("sev"),
             F.when(app != "-", app).alias("app"),
-            F.when(rule == "pairs", F.regexp_extract(x, r'\bmsg="((?:[^"\\]|\\.)*)"', 1)).when(rule == "json", F.coalesce(_key(x, "msg|message"), x)).otherwise(_by_rule(x, rule, "msg", {})).alias("msg"),
+            F.when(rule == "pairs", F.regexp_extract(x, r'\bmsg="((?:[^"\\]|\\.)*)"', 1)).when(rule == "json", _key(x, "msg|message")).otherwise(_by_rule(x, rule, "msg", {})).alias("msg"),
         )
 
     def inner(x: Column) -> Column:
