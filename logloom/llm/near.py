@@ -74,8 +74,9 @@ def _order(frequent: dict[int, int], threshold: float):
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for kind, cls, elements in zip(batch["kind"], batch["class"], batch["elements"], strict=True):
-                xs = sorted(map(int, elements), key=lambda x: (frequent.get(x, 0), x))
+            for kind, cls, elements, rare in zip(batch["kind"], batch["class"], batch["elements"], batch["rare"], strict=True):
+                at = {} if rare is None else {int(r["x"]): int(r["n"]) for r in rare}
+                xs = sorted(map(int, elements), key=lambda x: (frequent.get(x) or at.get(x, 1), x))
                 rows.append((kind, cls, xs, xs[: prefix(threshold, len(xs))]))
             yield pd.DataFrame(rows, columns=["kind", "class", "xs", "head"])
 
@@ -179,10 +180,14 @@ def class_pairs(found: DataFrame, threshold: float = THRESHOLD, chunk: int = CHU
     """kind, class_a, class_b, similarity of every pair of different classes of members() at the threshold."""
     classes = stored(found.groupBy("kind", "class").agg(F.first("elements").alias("elements")), "classes")
     total = classes.count()
-    counts = classes.select(F.explode("elements").alias("x")).groupBy("x").count()
+    held = classes.select("kind", "class", F.explode("elements").alias("x"))
+    counts = stored(held.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "element-counts")
     # Bounded: each class has its elements, so at most (mean size / FREQUENT) elements are in that share of the classes.
-    frequent = {r["x"]: r["count"] for r in counts.where(F.col("count") >= max(2.0, FREQUENT * total)).toLocalIterator()}
-    ordered = stored(classes.mapInPandas(_order(frequent, threshold), "kind string, class string, xs array<bigint>, head array<bigint>"), "ordered")
+    many = counts.where(F.col("n") >= max(2.0, FREQUENT * total))
+    frequent = {r["x"]: r["n"] for r in many.toLocalIterator()}
+    # Without the frequent ones no element is a hot key of the join. Elements of one class only needn't be looked up.
+    rare = held.join(F.broadcast(many), "x", "left_anti").join(counts, "x").groupBy("kind", "class").agg(F.collect_list(F.struct("x", "n")).alias("rare"))
+    ordered = stored(classes.join(rare, ["kind", "class"], "left").mapInPandas(_order(frequent, threshold), "kind string, class string, xs array<bigint>, head array<bigint>"), "ordered")
     heads = ordered.select("kind", "class", F.explode("head").alias("element"))
     shared = heads.groupBy("kind", "element").agg(F.count("*").alias("n")).where("n > 1")
     live = heads.join(shared, ["kind", "element"])
