@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,34 @@ def sized(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
+@contextmanager
+def settings(spark: SparkSession, **wanted: str):
+    """Session settings, with __ for the dots, that hold inside the block only."""
+    names = {k.replace("__", "."): v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def state_partitions(spark: SparkSession, path: str, per: int = 32 << 20) -> str:
+    """Partitions of a stream's state: one for each `per` bytes of its first input, 8 at least, no more than a shuffle has by default.
+
+    They stay as they are for the life of a checkpoint."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return str(min(max(8, size_of(spark, path) // per), max(8, most)))
+
+
 def local_session(app: str = "logloom", cores: str | None = None) -> SparkSession:
     """A session for tests and the bench; cluster settings come from spark-submit."""
     n = cores or os.environ.get("BENCH_CPUS", "8")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.hosts import host_zones, norm_word
-from logloom.functions.session import sized, stored, table, work_dir
+from logloom.functions.session import settings, sized, state_partitions, stored, table, work_dir
 from logloom.operators.timestamps import fit_mixture, normalize, stamp_rows
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,15 +51,8 @@ def maintain(spark: SparkSession, path: str, zones: DataFrame, mixture: DataFram
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
 
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true", spark__sql__shuffle__partitions=state_partitions(spark, path)):
         query = cells(stream, zones, mixture).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
 
 
