@@ -4,8 +4,8 @@ A multiset is a set of numbered words (the second `port` of a text is another el
 global order, rare ones first. Two sets at the threshold share an element within a prefix of each, so sets meet by prefix
 elements. At a meeting
 
-- the index lists the sets of each element by size, in blocks; blocks whose sizes can't reach the threshold are skipped,
-  and so are sets whose first common element stands too far back;
+- the index lists the smaller sets in blocks by the position at which the element stands in them, each block by size; blocks
+  that stand too far back to reach the threshold are skipped, and so are sizes outside of it;
 - a set much like one before it doesn't start anew: its overlaps are those of the other set, corrected by the few elements
   in which the two differ.
 
@@ -14,7 +14,7 @@ Equal multisets are one class; only classes meet. A meeting of more than CHUNK s
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -28,8 +28,8 @@ from logloom.functions.session import stored
 THRESHOLD, LEAST_WORDS = 0.8, 40
 #: An element in at least this share of the classes is frequent; there are at most (mean size / FREQUENT) of them.
 FREQUENT = 0.002
-#: Sets of a meeting that one task takes, and of a block of the index.
-CHUNK, BLOCK = 2_000, 64
+#: Sets of a meeting that one task takes.
+CHUNK = 2_000
 
 
 def need(threshold: float, a: int, b: int) -> int:
@@ -38,9 +38,15 @@ def need(threshold: float, a: int, b: int) -> int:
 
 
 def prefix(threshold: float, n: int) -> int:
+    """Elements of a set of n of which one at least is in any similar set."""
     return n - math.ceil(threshold * n - 1e-9) + 1
 
 
+def short_prefix(threshold: float, n: int) -> int:
+    """The same towards sets that aren't smaller."""
+    return n - need(threshold, n, n) + 1
+
+
 def _number(least: int):
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, int], int] = {}
@@ -77,79 +83,66 @@ def _order(frequent: dict[int, int], threshold: float):
             for kind, cls, elements, rare in zip(batch["kind"], batch["class"], batch["elements"], batch["rare"], strict=True):
                 at = {} if rare is None else {int(r["x"]): int(r["n"]) for r in rare}
                 xs = sorted(map(int, elements), key=lambda x: (frequent.get(x) or at.get(x, 1), x))
-                rows.append((kind, cls, xs, xs[: prefix(threshold, len(xs))]))
-            yield pd.DataFrame(rows, columns=["kind", "class", "xs", "head"])
+                rows.append((kind, cls, len(xs), xs, xs[: prefix(threshold, len(xs))]))
+            yield pd.DataFrame(rows, columns=["kind", "class", "size", "xs", "head"])
 
     return order
 
 
 class Meeting:
-    """Sets that share an element, indexed by all their elements."""
+    """Sets that share an element, as (class, elements in order, position of the shared element)."""
 
-    def __init__(self, sets: list[tuple[str, list[int]]], threshold: float):
+    def __init__(self, sets: list[tuple[str, list[int], int]], threshold: float):
         self.t, self.sets = threshold, sorted(sets, key=lambda s: (len(s[1]), s[1], s[0]))
-        self.sizes = [len(xs) for _, xs in self.sets]
-        self.own = [frozenset(xs) for _, xs in self.sets]
-        self.lists: dict[int, list[int]] = defaultdict(list)
-        for i, (_, xs) in enumerate(self.sets):
-            for x in xs:
-                self.lists[x].append(i)  # by size, as the sets are
-
-    def window(self, i: int) -> tuple[int, int]:
-        """The sets from the smallest that may be similar to set i up to i."""
-        return bisect_left(self.sizes, math.ceil(self.t * self.sizes[i] - 1e-9)), i
-
-    def part(self, x: int, low: int, high: int) -> list[int]:
-        """The sets low to high - 1 in the list of x; blocks outside are skipped."""
-        own = self.lists[x]
-        if len(own) <= BLOCK:
-            return [j for j in own if low <= j < high]
-        return own[bisect_left(own, low) : bisect_right(own, high - 1)]
-
-    def anew(self, i: int) -> Counter:
-        low, high = self.window(i)
-        common: Counter = Counter()
-        for x in self.sets[i][1]:
-            common.update(self.part(x, low, high))
-        return common
+        self.sizes, self.own = [len(s[1]) for s in self.sets], [frozenset(s[1]) for s in self.sets]
+        self.blocks: dict[int, list[int]] = defaultdict(list)
+        for i, (_, xs, at) in enumerate(self.sets):
+            if at < short_prefix(threshold, len(xs)):
+                self.blocks[at].append(i)  # by size, as the sets are
+        self.order = sorted(self.blocks)
+
+    def candidates(self, i: int) -> Iterator[int]:
+        """Sets before i that may be similar to it with the shared element as the first in common."""
+        n, at = self.sizes[i], self.sets[i][2]
+        low = bisect_left(self.sizes, math.ceil(self.t * n - 1e-9))
+        if low >= i or n - at < need(self.t, n, self.sizes[low]):
+            return
+        for back in self.order:
+            if self.sizes[i] - back < need(self.t, n, self.sizes[low]):
+                break  # this block and those behind it stand too far back, whatever the size
+            block = self.blocks[back]
+            for j in block[bisect_left(block, low) : bisect_left(block, i)]:
+                least = need(self.t, n, self.sizes[j])
+                if self.sizes[j] - back >= least and n - at >= least:
+                    yield j
 
     def answers(self) -> Iterator[tuple[int, int, int]]:
-        """(i, j, common) of every similar pair j < i."""
-        last: tuple[int, Counter] | None = None
+        """(i, j, common) of every similar pair j < i whose first common element may be the shared one."""
+        last, known = -1, {}
         for i in range(len(self.sets)):
-            low, high = self.window(i)
-            common = None
-            if last is not None:
-                k, known = last
-                more, less = self.own[i] - self.own[k], self.own[k] - self.own[i]
-                if 4 * (len(more) + len(less)) <= self.sizes[i]:
-                    low_k, _ = self.window(k)
-                    common = Counter(known)
-                    if low < low_k:
-                        for x in self.sets[i][1]:
-                            common.update(self.part(x, low, low_k))
-                    # Between k and i nothing is known yet: those sets are counted, the others corrected.
-                    for x in self.sets[i][1]:
-                        common.update(self.part(x, k, i))
-                    for x in more:
-                        common.update(self.part(x, max(low, low_k), k))
-                    for x in less:
-                        common.subtract(self.part(x, max(low, low_k), k))
-            if common is None:
-                common = self.anew(i)
-            last = (i, common)
-            n = self.sizes[i]
-            for j, c in common.items():
-                if low <= j < i and c >= need(self.t, n, self.sizes[j]):
+            own, found, more, less = self.own[i], {}, None, None
+            if last >= 0:
+                more, less = own - self.own[last], self.own[last] - own
+                if 4 * (len(more) + len(less)) > self.sizes[i]:
+                    more = None
+            for j in self.candidates(i):
+                if more is not None and j in known:
+                    other = self.own[j]
+                    c = known[j] + len(more & other) - len(less & other)
+                else:
+                    c = len(own & self.own[j])
+                found[j] = c
+                if c >= need(self.t, self.sizes[i], self.sizes[j]):
                     yield i, j, c
+            last, known = i, found
 
 
 def _meet(threshold: float):
     def pairs(kind: str, element: int, low: int, high: int, chunk: dict[str, int], sets: list) -> list[tuple]:
         meeting, rows = Meeting(sets, threshold), []
-        rank = [frozenset(xs[: prefix(threshold, len(xs))]) for _, xs in meeting.sets]
+        rank = [frozenset(xs[: prefix(threshold, len(xs))]) for _, xs, _ in meeting.sets]
         for i, j, c in meeting.answers():
-            (a, xs), (b, _) = meeting.sets[i], meeting.sets[j]
+            (a, xs, _), (b, _, _) = meeting.sets[i], meeting.sets[j]
             if low != high and chunk[a] == chunk[b]:
                 continue  # found where the chunk meets itself
             first = next(x for x in xs if x in rank[j])
@@ -162,13 +155,13 @@ def _meet(threshold: float):
         columns, at, chunk, sets = ["kind", "class_a", "class_b", "similarity"], None, {}, []
         for batch in batches:
             rows = []
-            for kind, element, low, high, c, cls, xs in zip(batch["kind"], batch["element"], batch["low"], batch["high"], batch["chunk"], batch["class"], batch["xs"], strict=True):
+            for kind, element, low, high, c, cls, xs, pos in zip(batch["kind"], batch["element"], batch["low"], batch["high"], batch["chunk"], batch["class"], batch["xs"], batch["at"], strict=True):
                 if at != (kind, element, low, high):
                     if len(sets) > 1:
                         rows += pairs(*at, chunk, sets)
                     at, chunk, sets = (kind, element, low, high), {}, []
                 chunk[cls] = c
-                sets.append((cls, xs.tolist()))
+                sets.append((cls, xs.tolist(), pos))
             yield pd.DataFrame(rows, columns=columns)
         if len(sets) > 1:
             yield pd.DataFrame(pairs(*at, chunk, sets), columns=columns)
@@ -187,14 +180,17 @@ def class_pairs(found: DataFrame, threshold: float = THRESHOLD, chunk: int = CHU
     frequent = {r["x"]: r["n"] for r in many.toLocalIterator()}
     # Without the frequent ones no element is a hot key of the join. Elements of one class only needn't be looked up.
     rare = held.join(F.broadcast(many), "x", "left_anti").join(counts, "x").groupBy("kind", "class").agg(F.collect_list(F.struct("x", "n")).alias("rare"))
-    ordered = stored(classes.join(rare, ["kind", "class"], "left").mapInPandas(_order(frequent, threshold), "kind string, class string, xs array<bigint>, head array<bigint>"), "ordered")
-    heads = ordered.select("kind", "class", F.explode("head").alias("element"))
-    shared = heads.groupBy("kind", "element").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = stored(classes.join(rare, ["kind", "class"], "left").mapInPandas(_order(frequent, threshold), "kind string, class string, size int, xs array<bigint>, head array<bigint>"), "ordered")
+    heads = ordered.select("kind", "class", "size", F.posexplode("head").alias("at", "element"))
+    # A meeting needs a set that has the element far enough in front for those that aren't smaller.
+    front = F.count_if(F.col("at") < F.col("short"))
+    heads = heads.withColumn("short", F.col("size") - F.ceil(2 * threshold / (1 + threshold) * F.col("size") - 1e-9) + 1)
+    shared = heads.groupBy("kind", "element").agg(F.count("*").alias("n"), front.alias("front")).where("n > 1 and front > 0").drop("front")
     live = heads.join(shared, ["kind", "element"])
     pieces = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("class"), pieces).cast("int")
-    live = live.select("kind", "class", "element", own.alias("chunk"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("other"))
-    live = live.select("kind", "class", "element", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    live = live.select("kind", "class", "element", "at", own.alias("chunk"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("other"))
+    live = live.select("kind", "class", "element", "at", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
     key = ["kind", "element", "low", "high"]
     met = live.join(ordered.select("kind", "class", "xs"), ["kind", "class"]).repartition(*key).sortWithinPartitions(*key)
     return met.mapInPandas(_meet(threshold), "kind string, class_a string, class_b string, similarity double")
