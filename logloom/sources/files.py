@@ -40,7 +40,7 @@ def site_bundle(spark: SparkSession, root: str) -> DataFrame:
     devices = manifests.select("site", "vendor", dirs.alias("dir"), F.explode("devices").alias("d"))
     field = lambda n: F.coalesce(F.col(f"d.{n}"), F.lit("")) if n in devices.schema["d"].dataType.names else F.lit("")
     devices = devices.select(F.col("site").alias("site_id"), F.concat("dir", F.lit("/"), F.col("d.file")).alias("path"), F.col("d.hostname").alias("hostname"), F.when(field("platform") != "", field("platform")).otherwise(F.lower(F.substring_index(F.coalesce("vendor", F.lit("")), " ", 1))).alias("platform"), field("function").alias("function"))
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root)
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     texts = texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("config_text"))
     return devices.join(texts, "path").drop("path")
 
