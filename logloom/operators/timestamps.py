@@ -10,12 +10,14 @@ that holds a third of all rows contributes a few dozen rows to it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import hosts, stamps
-from logloom.functions.session import sized
+from logloom.functions.session import sized, stored
 
 #: Microseconds a unit of an epoch stamp has, by format name; nanoseconds divide.
 UNITS = ("epoch_s", "epoch_ms", "epoch_us", "epoch_ns")
@@ -112,6 +114,19 @@ def _mixture(group: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _mixtures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """_mixture() of every source; rows come sorted by source, and a source may go on in the next batch."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch])
+        last = rows["source"].iloc[-1] if len(rows) else None
+        done, rest = rows[rows["source"] != last], rows[rows["source"] == last]
+        if len(done):
+            yield pd.concat([_mixture(own) for _, own in done.groupby("source", sort=False)])
+    if rest is not None and len(rest):
+        yield _mixture(rest)
+
+
 def fit_mixture(df: DataFrame, zones: DataFrame | None = None, slash_order: str = "mdy") -> DataFrame:
     """(source, key, best, posterior): for each source and combination of valid parses, the parse that the mixture chooses.
 
@@ -119,7 +134,8 @@ def fit_mixture(df: DataFrame, zones: DataFrame | None = None, slash_order: str
     unclear = F.btrim(F.col("stamp"), F.lit(hosts.BLANKS)).rlike(stamps.EPOCH if slash_order != "em" else rf"{stamps.EPOCH}|^\d+/\d+/\d{{4}}")
     found = parses(df.where(unclear), zones if slash_order == "em" else None, slash_order).where(F.size("cands") > 1)
     counts = found.groupBy(F.coalesce("source", F.lit("")).alias("source"), _key(F.col("cands")).alias("key")).agg(F.count("*").alias("n"))
-    return counts.groupBy("source").applyInPandas(_mixture, "source string, key string, best string, posterior double")
+    # Sources follow each other within a partition: one call a batch of sources, not one each.
+    return counts.repartition("source").sortWithinPartitions("source").mapInPandas(_mixtures, "source string, key string, best string, posterior double")
 
 
 def normalize(df: DataFrame, zones: DataFrame, mixture: DataFrame, slash_order: str = "mdy", sure: float = 0.9) -> DataFrame:
@@ -147,4 +163,4 @@ def stamp_rows(df: DataFrame, row_id: str, *keep: str) -> DataFrame:
 def table_instants(df: DataFrame, row_id: str, inventory: DataFrame, sites: DataFrame) -> DataFrame:
     """normalize() over a whole table with the zones of its hosts."""
     rows = stamp_rows(df, row_id)
-    return normalize(rows, sized(hosts.host_zones(inventory, sites)), sized(fit_mixture(rows)))
+    return normalize(rows, sized(stored(hosts.host_zones(inventory, sites), "zones")), sized(stored(fit_mixture(rows), "mixture")))
