@@ -88,5 +88,23 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p4_found, p5_found, p5_redacted, p6_found, p6_links, p7_found, p7_cleaned, p8_selection, p8_shares, p9_found, p9_levels)}
 
 
+NEAR = """WITH t AS (SELECT 'log_event' AS src_table, seq AS k, message AS txt FROM log_event WHERE NOT coalesce(appname = 'syslog' AND "timestamp" = '', false)
+ UNION ALL SELECT 'action_item', item_id, array_to_string(list_filter(sample_messages, lambda x: x IS NOT NULL), ' ') FROM action_item),
+ w AS (SELECT src_table, k, lower(unnest(regexp_extract_all(txt, '[A-Za-z0-9]+'))) AS w FROM t),
+ n AS (SELECT src_table, k, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 40),
+ c AS (SELECT src_table, k, w, count(*) AS m FROM w SEMI JOIN n USING (src_table, k) GROUP BY ALL),
+ o AS (SELECT a.src_table, a.k AS key_a, b.k AS key_b, sum(least(a.m, b.m)) AS common FROM c a JOIN c b ON a.src_table = b.src_table AND a.w = b.w AND a.k < b.k GROUP BY ALL)
+ SELECT o.src_table, key_a, key_b FROM o JOIN n x ON x.src_table = o.src_table AND x.k = key_a JOIN n y ON y.src_table = o.src_table AND y.k = key_b WHERE 10 * common >= 8 * (x.n + y.n - common)"""
+LEAKS = """WITH i AS (SELECT item_id, list_transform(regexp_extract_all(item_text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_item),
+ d AS (SELECT doc_id, n_chars, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents),
+ ig AS (SELECT DISTINCT item_id, array_to_string(w[p : p + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i)),
+ dg AS (SELECT doc_id, array_to_string(w[p : p + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d)),
+ f AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": NEAR,
+        "p7_found": LEAKS + " SELECT doc_id, item_id FROM f",
+        "p7_cleaned": LEAKS + " SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)",
+    }
