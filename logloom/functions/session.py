@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a dimension is hinted for broadcast; above it the join shuffles.
@@ -45,6 +45,19 @@ def sized(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
 
 
+def ranked(df: DataFrame, order: list, out: str) -> DataFrame:
+    """df with out: 1, 2, ... in the order of all rows, sorted in ranges by many tasks; ties get any order.
+
+    The ranges are written once; their sizes, a row each, give the rank at which each begins."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    own = F.monotonically_increasing_id()
+    at = stored(sorted_.withColumns({"_range": F.shiftright(own, 33), "_place": own.bitwiseAND((1 << 33) - 1)}), "ranked")
+    sizes = at.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_start"))
+    return at.join(F.broadcast(starts), "_range").withColumn(out, F.col("_start") + F.col("_place") + 1).drop("_range", "_place", "_start")
+
+
 def size_of(spark: SparkSession, path: str) -> int:
     """Bytes of a file or folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import rules
+from logloom.functions.session import ranked
 from logloom.functions.stamps import rare
 
 STRIP = r"^\s+|\s+$"
@@ -112,9 +113,9 @@ def action_items(classified: DataFrame, devices: int = 10, samples: int = 3) ->
     texts = own.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("timestamp"), "seq"))).where(F.col("at") <= samples)
     texts = texts.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.substring("message", 1, 300).alias("m")))), lambda r: r["m"]).alias("sample_messages"))
     items = groups.join(hosts, key, "left").join(texts, key, "left")
-    order = Window.orderBy(severity_rank(F.col("severity")), F.desc("count"), F.desc("newest"))  # over the groups, not the events
     none = F.array().cast("array<string>")
-    return items.select("severity", "category", "description", "count", F.row_number().over(order).alias("rank"), F.coalesce("devices", none).alias("devices"), F.coalesce("sample_messages", none).alias("sample_messages"))
+    items = ranked(items, [severity_rank(F.col("severity")).asc(), F.desc("count"), F.desc("newest")], "rank")
+    return items.select("severity", "category", "description", "count", "rank", F.coalesce("devices", none).alias("devices"), F.coalesce("sample_messages", none).alias("sample_messages"))
 
 
 def top_devices(classified: DataFrame, limit: int = 20) -> DataFrame:

@@ -49,7 +49,9 @@ def vlans(configs: DataFrame) -> DataFrame:
 def merged_vlans(per_host: DataFrame) -> DataFrame:
     """vlan_id, name, n_hosts, n_subnets, kind over all devices: the name of the first host that has one."""
     name = F.when(F.col("name") != "", F.col("name"))
-    rows = per_host.groupBy("vlan_id").agg(F.coalesce(F.min_by(name, F.when(name.isNotNull(), F.col("host"))), F.lit("")).alias("name"), F.count("*").alias("n_hosts"), F.size(F.array_distinct(F.flatten(F.collect_list("subnets")))).cast("bigint").alias("n_subnets"))
+    rows = per_host.groupBy("vlan_id").agg(F.coalesce(F.min_by(name, F.when(name.isNotNull(), F.col("host"))), F.lit("")).alias("name"), F.count("*").alias("n_hosts"))
+    nets = per_host.select("vlan_id", F.explode("subnets").alias("net")).groupBy("vlan_id").agg(F.count_distinct("net").alias("n_subnets"))
+    rows = rows.join(nets, "vlan_id", "left").select("vlan_id", "name", "n_hosts", F.coalesce("n_subnets", F.lit(0).cast("bigint")).alias("n_subnets"))
     return rows.withColumn("kind", by_word(F.col("name"), VLAN_KINDS, "Other"))
 
 
