@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import rules
+from logloom.functions.guards import needed
 from logloom.functions.session import ranked
 from logloom.functions.stamps import rare
 
@@ -35,12 +36,20 @@ def severity_rank(c: Column) -> Column:
 
 
 def first_rule(key: Column, patterns: list[str] | tuple[str, ...]) -> Column:
-    """Number of the first pattern found in key, evaluated once; null for none."""
+    """Number of the first pattern found in key, evaluated once; null for none.
+
+    A pattern is tried only on keys that hold one of the texts that it needs."""
 
     def chain(k: Column) -> Column:
         out = None
         for i, p in enumerate(patterns):
-            out = F.when(k.rlike(p), i) if out is None else out.when(k.rlike(p), i)
+            hit = k.rlike(p)
+            if words := needed(p):
+                may = F.contains(k, F.lit(words[0]))
+                for w in words[1:]:
+                    may = may | F.contains(k, F.lit(w))
+                hit = may & hit
+            out = F.when(hit, i) if out is None else out.when(hit, i)
         return out
 
     return rare(key, chain)

@@ -78,3 +78,17 @@ def test_empty(spark):
     assert [r["ord"] for r in events.summary(c).orderBy("ord").collect()] == [1, 2, 4]
     wide = spark.createDataFrame([(1, "t", "h", "a", "info", "link down", "x", 1)], SCHEMA + ", rule string, severity int")
     assert events.classify(wide).collect()[0]["severity"] == "high"
+
+
+def test_patterns_need_their_words():
+    import re
+
+    from logloom.functions.guards import needed
+
+    assert needed(r"kernel\s*panic|core\s*dump") == ["core", "kernel"] or needed(r"kernel\s*panic|core\s*dump") == ["dump", "kernel"]
+    assert needed(r"(?:major|minor)\s+alarm") == ["alarm"] and needed(r"\d+|x") == [] and needed(r"(?i)abc") == [] and needed(r"ab?c*def(?:gh)+") == ["def"]
+    texts = ["kernel panic", "fpc3 offline", "major alarm", "bgp peer down", "re0 switchover", "if_down", "l2ald", "commit", "last  message repeated", "err-disabled", "out of memory", "lag member added", "pause frame", "eos agent"]
+    for p, *_ in rules.CLASSIFICATION:
+        assert needed(p), p
+        for t in texts:
+            assert not re.search(p, t) or any(w in t for w in needed(p))
