@@ -135,6 +135,13 @@ ROUTER_ID = (r"(?i)\brouter\s+ospf\b[\s\S]*?\bospf\s+router-id\s+(\d+\.\d+\.\d+\
 INTERFACE_BLOCK = r"(?m)^interface\s+(\S+)[ \t]*\n((?:[ \t]+\S[^\n]*\n)+)"
 BLOCK_DESCRIPTION = r"(?im)^[ \t]+description\s+(.+?)[ \t]*$"
 SPEED = r"(?i)(?:port-)?speed\s+(\d+)\s*([GgMm])?"
+SET_ADDRESS = rf"(?i)set\s+interfaces\s+(\S+)(?:\s+unit\s+\d+)?\s+family\s+inet\s+address\s+({IP}/\d{{1,2}})"
+SET_DESCRIPTION = r"""(?i)set\s+interfaces\s+(\S+)\s+(?:unit\s+\d+\s+)?description\s+"?([^"\n;]+)"""
+SET_SPEED = r"(?i)set\s+interfaces\s+(\S+)\s+(?:unit\s+\d+\s+)?(?:gigether-options|ether-options)\s+speed\s+(\d+)\s*([GgMm])?"
+BRACED_BLOCK = r"(?msd)interface\s+(ethernet-\d+(?:/\d+)+|system\d+|lo\d*|mgmt\d+)\s*\{(.*?)^\s*\}\s*$"
+BRACED_ADDRESS = rf"(?i)address\s+({IP}/\d{{1,2}})"
+BRACED_DESCRIPTION = r"""(?i)description\s+"?([^"\n;{}]+)"""
+OSPF = (("area", r"(?i)\bip\s+ospf\s+area\s+(\S+)", "string"), ("hello", r"(?i)\bip\s+ospf\s+hello-interval\s+(\d+)", "bigint"), ("dead", r"(?i)\bip\s+ospf\s+dead-interval\s+(\d+)", "bigint"), ("cost", r"(?i)\bip\s+ospf\s+cost\s+(\d+)", "bigint"), ("network_type", r"(?i)\bip\s+ospf\s+network\s+(\S+)", "string"))
 SPEED_BY_NAME = (("hundredgig", "100G"), ("fortygig", "40G"), ("twentyfivegig", "25G"), ("tengig", "10G"), ("gigabitethernet", "1G"), ("xe-", "10G"), ("ge-", "1G"), ("mge-", "100G"), ("et-", "40G"))
 VNI = (r"(?i)\bvxlan\s+(?:vlan\s+\d+\s+vni|vni)\s+(\d+)", r"(?i)\bvxlan\s+vni\s+(\d+)")
 VRF = (r"(?i)\bvrf\s+definition\s+(\S+)", r"(?i)\bvrf\s+(\S+)\b", r"(?i)\brouting-instances\s+(\S+)\s+\{")

@@ -45,11 +45,13 @@ def distinct_valid(xs: Column) -> Column:
 
 
 def addresses(configs: DataFrame) -> DataFrame:
-    """host, pos, cidr, ip_num, net_num, length of every distinct valid interface address."""
+    """host, pos, cidr, ip_num, net_num, length of every distinct valid interface address; of braced blocks the first of each interface."""
     junos = F.concat(all_of(R.JUNOS_ADDRESS), all_of(R.JUNOS_BLOCK_ADDRESS))
     lines = all_of(R.LINE_ADDRESS)
     xs = F.when(F.col("platform").startswith("junos"), junos).when(F.col("platform").isin("eos", "arista", "frr", "ios"), lines).otherwise(F.concat(all_of(R.JUNOS_ADDRESS), lines))
-    rows = configs.select("host", F.posexplode(distinct_valid(xs)).alias("pos", "cidr"))
+    held = F.filter(F.transform(braced_blocks(), lambda x: F.struct(x["name"].alias("name"), F.regexp_extract(x["body"], R.BRACED_ADDRESS, 1).alias("ip"))), lambda x: x["ip"] != "")
+    own = F.filter(held, lambda x, i: F.array_position(F.transform(held, lambda y: y["name"]), x["name"]) == i + 1)["ip"]
+    rows = configs.select("host", F.posexplode(distinct_valid(F.concat(xs, own))).alias("pos", "cidr"))
     rows = rows.withColumns({"ip_num": ip_number(F.substring_index("cidr", "/", 1)), "length": F.substring_index("cidr", "/", -1).cast("int")})
     size = F.pow(F.lit(2), 32 - F.col("length")).cast("bigint")
     return rows.select("host", "pos", "cidr", "ip_num", (F.col("ip_num") - F.col("ip_num") % size).alias("net_num"), "length")
@@ -80,13 +82,42 @@ def speed_of_name(name: Column) -> Column:
     return out.otherwise("")
 
 
-def interfaces(configs: DataFrame) -> DataFrame:
-    """host, name, ip, description, speed of interface blocks; of several blocks the first that has a value counts."""
-    blocks = configs.select("host", F.posexplode(F.arrays_zip(all_of(R.INTERFACE_BLOCK, 1).alias("name"), all_of(R.INTERFACE_BLOCK, 2).alias("body"))).alias("pos", "b"))
-    body = F.col("b.body")
-    rows = blocks.select("host", "pos", F.col("b.name").alias("name"), F.regexp_extract(body, R.LINE_ADDRESS, 1).alias("ip"), strip(F.regexp_extract(body, R.BLOCK_DESCRIPTION, 1)).alias("description"), speed(F.regexp_extract(body, R.SPEED, 1), F.regexp_extract(body, R.SPEED, 2)).alias("speed"))
+def _zipped(pattern: str, *names: str) -> Column:
+    """Groups 1, 2, ... of every match as structs of these names."""
+    return F.arrays_zip(*[all_of(pattern, k + 1).alias(n) for k, n in enumerate(names)])
+
+
+def braced_blocks() -> Column:
+    """name, body of blocks 'interface X {', each up to its first line with nothing but a closing brace."""
+    return _zipped(R.BRACED_BLOCK, "name", "body")
+
+
+def interfaces(configs: DataFrame, braced: bool = True) -> DataFrame:
+    """host, name, ip, description, speed and the OSPF columns of interfaces: of set lines (junos), then indented blocks, then braced ones.
+
+    The first that has a value counts, of the OSPF columns, which only braced blocks have, the last; they are null where none has."""
+    none = F.lit("")
+
+    def entry(name: Column, ip: Column = none, description: Column = none, number: Column = none, unit: Column = none, body: Column = none) -> Column:
+        return F.struct(name.alias("name"), ip.alias("ip"), strip(description).alias("description"), speed(number, unit).alias("speed"), body.alias("body"))
+
+    def inner(x: Column, address: str, description: str, body: Column = none) -> Column:
+        return entry(x["name"], F.regexp_extract(x["body"], address, 1), F.regexp_extract(x["body"], description, 1), F.regexp_extract(x["body"], R.SPEED, 1), F.regexp_extract(x["body"], R.SPEED, 2), body)
+
+    addressed = F.transform(_zipped(R.SET_ADDRESS, "name", "v"), lambda x: entry(x["name"], ip=x["v"]))
+    described = F.transform(_zipped(R.SET_DESCRIPTION, "name", "v"), lambda x: entry(x["name"], description=x["v"]))
+    timed = F.transform(_zipped(R.SET_SPEED, "name", "v", "u"), lambda x: entry(x["name"], number=x["v"], unit=x["u"]))
+    forms = [F.filter(F.concat(addressed, described, timed), lambda _: F.col("platform").startswith("junos")), F.transform(_zipped(R.INTERFACE_BLOCK, "name", "body"), lambda x: inner(x, R.LINE_ADDRESS, R.BLOCK_DESCRIPTION))]
+    if braced:
+        forms.append(F.transform(braced_blocks(), lambda x: inner(x, R.BRACED_ADDRESS, R.BRACED_DESCRIPTION, x["body"])))
+    rows = configs.select("host", F.posexplode(F.concat(*forms)).alias("pos", "b")).select("host", "pos", "b.*")
     first = lambda c: F.coalesce(F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("pos"))), F.lit("")).alias(c)
-    out = rows.groupBy("host", "name").agg(first("ip"), first("description"), first("speed"))
+
+    def last(name: str, pattern: str, kind: str) -> Column:
+        v = F.regexp_extract("body", pattern, 1)
+        return F.max_by(v, F.when(v != "", F.col("pos"))).cast(kind).alias(f"ospf_{name}")
+
+    out = rows.groupBy("host", "name").agg(first("ip"), first("description"), first("speed"), *[last(*x) for x in R.OSPF])
     return out.withColumn("speed", F.when(F.col("speed") != "", F.col("speed")).otherwise(speed_of_name(F.col("name"))))
 
 

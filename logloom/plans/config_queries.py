@@ -67,7 +67,12 @@ def descriptions(spark, sf_dir):
 
 
 def interfaces(spark, sf_dir):
-    return facts.interfaces(_configs(spark, sf_dir))
+    return facts.interfaces(_configs(spark, sf_dir)).select("host", "name", "ip", "description", "speed")
+
+
+def interface_ospf(spark, sf_dir):
+    rows = facts.interfaces(_configs(spark, sf_dir)).drop("ip", "description", "speed")
+    return rows.where(F.coalesce(*[F.col(c).cast("string") for c in rows.columns if c.startswith("ospf_")]).isNotNull())
 
 
 def address_families(spark, sf_dir):
@@ -194,7 +199,7 @@ def diff_unified(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     own = (
-        parse_lines, parse_format_counts, routing_lines, sanitize_text, sanitize_report, mask_public_ipv4, device_ips, bgp_peers, mlag_peers, descriptions, interfaces, address_families, device_profiles, named_values, service_endpoints, lifecycle, edge_candidates, edges_best,
+        parse_lines, parse_format_counts, routing_lines, sanitize_text, sanitize_report, mask_public_ipv4, device_ips, bgp_peers, mlag_peers, descriptions, interfaces, interface_ospf, address_families, device_profiles, named_values, service_endpoints, lifecycle, edge_candidates, edges_best,
         compliance_checks, compliance_rollup, compliance_totals, fleet_search, fleet_search_totals, role_counts, version_counts, composition, bgp_split, asn_holders, remote_as_top, missing_services, facilities, site_inventory, diff_sections, diff_unified,
     )
     return {f.__name__: f for f in own}

@@ -48,6 +48,18 @@ def test_addresses_peers_interfaces(spark):
     assert got["s-sw-01", "Ethernet1"] == ("10.0.0.1/31", "to s-sw-02 port 1", "10G") and got["s-sw-01", "Vlan10"] == ("10.1.10.1/24", "", "")
 
 
+def test_interfaces_of_set_lines_and_braced_blocks(spark):
+    lines = 'set interfaces et-0/0/1 unit 0 family inet address 10.7.0.1/31\nset interfaces et-0/0/1 unit 1 family inet address 10.7.0.3/31\nset interfaces et-0/0/1 description "to s-sw-01"\nset interfaces et-0/0/1 unit 0 description later\nset interfaces et-0/0/1 gigether-options speed 100g\nset interfaces xe-0/0/2 description spare\n'
+    srl = 'interface ethernet-1/1 {\n    description "to spine"\n    port-speed 25G\n    ip ospf area 0.0.0.1\n    ip ospf hello-interval 5\n    ip ospf dead-interval 20\n    ip ospf cost 77\n    ip ospf network point-to-point\n    subinterface 0 {\n        ipv4 {\n            address 10.8.0.1/31 {\n            }\n        }\n    }\n}\ninterface system0 {\n    subinterface 0 {\n        ipv4 { address 10.8.9.9/32 { } }\n    }\n}\n'
+    c = spark.createDataFrame([("j", "s", "junos-ex", "", lines), ("o", "s", "eos", "", lines), ("n", "s", "srl", "", srl)], SCHEMA)
+    got = {(r["host"], r["name"]): tuple(r)[2:] for r in facts.interfaces(c).collect()}
+    assert got == {
+        ("j", "et-0/0/1"): ("10.7.0.1/31", "to s-sw-01", "100G", None, None, None, None, None), ("j", "xe-0/0/2"): ("", "spare", "10G", None, None, None, None, None),
+        ("n", "ethernet-1/1"): ("10.8.0.1/31", "to spine", "25G", "0.0.0.1", 5, 20, 77, "point-to-point"), ("n", "system0"): ("10.8.9.9/32", "", "", None, None, None, None, None),
+    }
+    assert {(r["host"], r["cidr"]) for r in facts.addresses(c).collect() if r["host"] == "n"} == {("n", "10.8.0.1/31"), ("n", "10.8.9.9/32")}
+
+
 def test_wide_and_named(spark):
     c = configs(spark)
     w = {r["host"]: r for r in facts.wide(c).collect()}
