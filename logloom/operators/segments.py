@@ -16,6 +16,9 @@ VLAN_SET = r"(?i)set\s+vlans\s+(\S+)\s+vlan-id\s+(\d{1,4})"
 VLAN_LINE = r"(?m)^\s*vlan\s+(\d{1,4})[ \t]*\n(?:[ \t]+name\s+(\S+))?"
 SUBNET_BLOCK = r"irb\s*\{[^}]*?unit\s+(\d{1,4})[^}]*?address\s+(\d{1,3}(?:\.\d{1,3}){3}/\d{1,2})"
 SUBNET_LINE = r"(?m)interface\s+Vlan(\d{1,4})\s*\n(?:\s+\S[^\n]*\n)*?\s+ip\s+address\s+(\d{1,3}(?:\.\d{1,3}){3}/\d{1,2})"
+#: Set lines of Junos (interface, unit, address; interface, description).
+SET_ADDRESS = rf"set\s+interfaces\s+(\S+)\s+unit\s+(\d+)\s+family\s+inet\s+address\s+({R.IP}(?:/\d{{1,2}})?)"
+SET_DESCRIPTION = r"""set\s+interfaces\s+(\S+)\s+(?:unit\s+\d+\s+)?description\s+"?([^";\n]+)"""
 #: Words in VLAN names, in order, and the kind each stands for; words of carriers in descriptions.
 VLAN_KINDS = (("mgmt", "Management"), ("management", "Management"), ("ipmi", "IPMI/BMC"), ("bmc", "IPMI/BMC"), ("pxe", "PXE/Boot"), ("boot", "PXE/Boot"), ("storage", "Storage"), ("stor", "Storage"), ("dr", "DR/Backup"), ("backup", "DR/Backup"), ("advpn", "ADVPN"), ("vpn", "ADVPN"), ("prod", "Production/Access"), ("access", "Production/Access"), ("wan", "WAN/External"), ("transit", "WAN/External"), ("core", "Network/Transit"), ("fabric", "Network/Transit"), ("infra", "Infrastructure"))
 CARRIERS = (("telia", "Telia"), ("arelion", "Arelion"), ("lumen", "Lumen"), ("cogent", "Cogent"), ("ntt", "NTT"), ("gtt", "GTT"), ("leaseweb", "Leaseweb"), ("level3", "Level3"), ("centurylink", "CenturyLink"), ("verizon", "Verizon"), ("att", "AT&T"), ("deutsche telekom", "Deutsche Telekom"), ("vodafone", "Vodafone"), ("optus", "Optus"), ("telstra", "Telstra"), ("tpg", "TPG"), ("swisscom", "Swisscom"), ("colt", "Colt"), ("comcast", "Comcast"), ("orange", "Orange"), ("bt", "BT"), ("kpn", "KPN"), ("tata", "Tata"), ("akamai", "Akamai"))
@@ -61,29 +64,52 @@ def wan_addresses(interfaces: DataFrame) -> DataFrame:
     return interfaces.where(public).select("host", "name", "ip", "description", by_word(F.col("description"), CARRIERS, "").alias("carrier"))
 
 
-def scoped_addresses(configs: DataFrame) -> DataFrame:
-    """host, name, ip, description of addresses in nested blocks: each line's open interface, by a fold over the lines.
-
-    The stack holds the open blocks with the depth at which each began; it is as deep as the text is nested."""
+def _scoped(configs: DataFrame) -> DataFrame:
+    """scoped_addresses with pos, the place in the order of the text."""
     opening = r"^\s*((?:ge|xe|et|ae|eth|reth|fe|me|fxp|st|lo)\S*)\s*\{"
     address = rf"address\s+({R.IP}(?:/\d{{1,2}})?)\s*;"
     count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("name"), F.lit(-1).alias("at"), F.lit("").alias("d"), F.array().cast("array<struct<name:string,ip:string,description:string>>").alias("found"))
-
-    def step(acc: Column, line: Column) -> Column:
-        opened = F.regexp_extract(line, opening, 1)
-        name = F.when(opened != "", opened).otherwise(acc["name"])
-        at = F.when(opened != "", acc["depth"]).otherwise(acc["at"])
-        told = F.regexp_extract(line, r"^\s*description\s+\"?([^\";\n]+)\"?\s*;", 1)
-        d = F.when(told != "", strip(told)).when(opened != "", F.lit("")).otherwise(acc["d"])
-        ip = F.regexp_extract(line, address, 1)
-        found = F.when((ip != "") & (name != ""), F.array_append(acc["found"], F.struct(name.alias("name"), ip.alias("ip"), d.alias("description")))).otherwise(acc["found"])
-        depth = acc["depth"] + count(line, "{") - count(line, "}")
-        closed = (name != "") & (depth <= at)
-        return F.struct(depth.alias("depth"), F.when(closed, "").otherwise(name).alias("name"), F.when(closed, -1).otherwise(at).alias("at"), F.when(closed, "").otherwise(d).alias("d"), found.alias("found"))
-
-    rows = configs.select("host", F.aggregate(F.split("text", "\n"), start, step)["found"].alias("found"))
-    return rows.select("host", F.inline("found"))
+    parts = lambda x: F.struct(F.regexp_extract(x, opening, 1).alias("opened"), F.regexp_extract(x, r"^\s*description\s+\"?([^\";\n]+)\"?\s*;", 1).alias("told"), F.regexp_extract_all(x, F.lit(address), F.lit(1)).alias("ips"), (count(x, "{") - count(x, "}")).alias("net"))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<struct<name:string,at:int>>").alias("stack"), F.lit("").alias("d"), F.array().cast("array<struct<name:string,ip:string,description:string>>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = x["opened"] != ""
+        stack = F.when(opens, F.array_append(acc["stack"], F.struct(x["opened"].alias("name"), acc["depth"].alias("at")))).otherwise(acc["stack"])
+        d = F.when(x["told"] != "", strip(x["told"])).when(opens, F.lit("")).otherwise(acc["d"])
+        name = F.try_element_at(stack, F.lit(-1))["name"]
+        hits = F.transform(x["ips"], lambda ip: F.struct(name.alias("name"), ip.alias("ip"), d.alias("description")))
+        found = F.when((F.size(x["ips"]) > 0) & (F.size(stack) > 0), F.concat(acc["found"], hits)).otherwise(acc["found"])
+        depth = acc["depth"] + x["net"]
+        left = F.filter(stack, lambda s: s["at"] < depth)
+        return F.struct(depth.alias("depth"), left.alias("stack"), F.when(F.size(left) < F.size(stack), F.lit("")).when(F.size(stack) == 0, F.lit("")).otherwise(d).alias("d"), found.alias("found"))
+
+    rows = configs.select("host", F.aggregate(F.transform(F.split("text", "\n"), parts), start, step)["found"].alias("found"))
+    return rows.select("host", F.posexplode("found").alias("pos", "f")).select("host", "pos", "f.*")
+
+
+def scoped_addresses(configs: DataFrame) -> DataFrame:
+    """host, name, ip, description of addresses in nested blocks: each line's open interface, by a fold over the lines.
+
+    The stack holds the open interfaces with the depth at which each began. When one closes, the one around it is open
+    again, without a description until the next is told."""
+    return _scoped(configs).drop("pos")
+
+
+def set_addresses(configs: DataFrame) -> DataFrame:
+    """host, pos, name, ip, description of addresses in set lines; name is interface.unit, the interface's first description counts."""
+    at = F.arrays_zip(*[all_of(SET_ADDRESS, k).alias(n) for k, n in ((1, "name"), (2, "unit"), (3, "ip"))])
+    told = F.arrays_zip(all_of(SET_DESCRIPTION, 1).alias("name"), F.transform(all_of(SET_DESCRIPTION, 2), strip).alias("d"))
+    both = F.concat(F.transform(at, lambda x: F.struct(x["name"].alias("name"), x["unit"].alias("unit"), x["ip"].alias("ip"), F.lit(None).cast("string").alias("d"))), F.transform(told, lambda x: F.struct(x["name"].alias("name"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("ip"), x["d"].alias("d"))))
+    rows = configs.select("host", F.posexplode(both).alias("pos", "x")).select("host", "pos", "x.*")
+    hit = F.when(F.col("ip").isNotNull(), F.struct("pos", "unit", "ip"))
+    rows = rows.groupBy("host", "name").agg(F.collect_list(hit).alias("hits"), F.coalesce(F.min_by("d", F.when(F.col("d").isNotNull(), F.col("pos"))), F.lit("")).alias("description"))
+    return rows.select("host", "name", "description", F.inline("hits")).select("host", "pos", F.concat_ws(".", "name", "unit").alias("name"), "ip", "description")
+
+
+def junos_addresses(configs: DataFrame) -> DataFrame:
+    """host, name, ip, description of addresses in nested blocks and in set lines: of equal addresses of a host the first, blocks before lines."""
+    rows = _scoped(configs).withColumn("form", F.lit(0)).unionByName(set_addresses(configs).withColumn("form", F.lit(1)))
+    return rows.groupBy("host", "ip").agg(F.min(F.struct("form", "pos", "name", "description")).alias("x")).select("host", "x.name", "ip", "x.description")
 
 
 def carriers(wan: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def vlan_kinds(spark, sf_dir):
 def wan_addresses(spark, sf_dir):
     configs = _configs(spark, sf_dir)
     junos = F.col("platform").startswith("jun")
-    nested = segments.scoped_addresses(configs.where(junos))
-    return segments.wan_addresses(facts.interfaces(configs.where(~junos)).select("host", "name", "ip", "description").unionByName(nested))
+    own = segments.junos_addresses(configs.where(junos))
+    return segments.wan_addresses(facts.interfaces(configs.where(~junos), braced=False).select("host", "name", "ip", "description").unionByName(own))
 
 
 def nested_addresses(spark, sf_dir):

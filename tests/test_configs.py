@@ -124,6 +124,14 @@ def test_segments(spark):
     assert [r["carrier"] for r in wan.collect()] == ["Cogent"] and segments.carriers(wan).collect()[0]["shutdown"] is False
 
 
+def test_addresses_of_set_lines_and_of_the_block_around(spark):
+    lines = 'set interfaces ge-0/0/0 unit 7 family inet address 8.8.4.4/30\nset interfaces ge-0/0/0 unit 7 description "Telia uplink"\nset interfaces ge-0/0/0 description later\nset interfaces ge-0/0/1 unit 0 family inet address 10.1.1.1/30\nset interfaces ge-0/0/2 unit 0 family inet address 8.8.4.4/30\n'
+    block = "ae0 {\n  description GTT;\n  unit 0 { family inet { address 9.9.9.1/30; address 9.9.9.5/30; } }\n  xe-0/0/1 {\n    description Colt;\n    address 9.9.9.9/30;\n  }\n  address 9.9.9.13/30;\n}\naddress 9.9.9.17/30;\n"
+    c = spark.createDataFrame([("j", "s", "junos", "", lines), ("k", "s", "junos", "", block)], SCHEMA)
+    got = sorted((r["host"], r["name"], r["ip"], r["carrier"]) for r in segments.wan_addresses(segments.junos_addresses(c)).collect())
+    assert got == [("j", "ge-0/0/0.7", "8.8.4.4/30", "Telia"), ("k", "ae0", "9.9.9.1/30", "GTT"), ("k", "ae0", "9.9.9.13/30", ""), ("k", "ae0", "9.9.9.5/30", "GTT"), ("k", "xe-0/0/1", "9.9.9.9/30", "Colt")]
+
+
 def test_captures_and_diffs(spark):
     t = lambda d: datetime(2025, 1, d)
     rows = [(1, "s", "A.x", "EOS", "f", t(1), "a\nntp 1\n"), (2, "s", " a", None, "f", t(2), "a\r\nntp 2\r\nb\r\n"), (2, "s", " a", None, "f", t(2), "a\r\nntp 2\r\nb\r\n"), (3, "s", "b", "x", "f", t(1), None), (4, "s", None, "x", "f", t(1), "z")]
