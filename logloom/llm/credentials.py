@@ -3,10 +3,10 @@
 1. Every file is scanned with a grammar of places that hold credentials; each hit is a literal with its span.
 2. An index over the whole corpus counts the owners (hosts) of each literal. Literals of very many owners are
    placeholders and are suppressed.
-3. Rare literals with the structure of a secret are confirmed. A confirmed literal is looked up by its longest piece in an
-   index of the pieces of all files; each file that shares a piece is scanned again, whole, with an automaton of the
-   confirmed literals that it may hold. So no node needs all secrets, and a secret in a comment or under an unknown key is
-   found as well."""
+3. Rare literals with the structure of a secret are confirmed. A confirmed literal is looked up by its longest run of letters
+   and digits, or by two short ones with what stands between, in an index of those of all files; each file that shares it is
+   scanned again, whole, with an automaton of the confirmed literals that it may hold. So no node needs all secrets, a secret
+   in a comment or under an unknown key is found as well, and no file that the automaton would accept is left out."""
 
 from __future__ import annotations
 
@@ -78,7 +78,12 @@ NOTHING = r"""(?ix)^(?:
     | \w+(?:\.\w+)*[(\[].* | (?:vault|env|ssm|secretsmanager|file|keyring|kms|op)(?::|//|/).* | os\.\S* | process\.env\S* | /\S*
     | \{ | \} | \[.* | minimum-\w+ | required | chain | lives | length | format | encryption | authentication | [><|&]\S*
 )$"""
-PIECES = r"[^\s\"';,(){}\[\]<>=:@/|&?+\\]+"
+#: Letters and digits from which on a run of a literal is looked up by itself.
+RUN = 6
+#: Runs of letters and digits; neighbouring shorter runs with what stands between. Where the automaton accepts a literal, each of
+#: its runs is a whole run of the text, as a letter or digit beside the literal's own would be refused.
+RUNS = r"([A-Za-z0-9]+)"
+PAIRS = rf"(?<![A-Za-z0-9])(?=([A-Za-z0-9]{{1,{RUN - 1}}}[^A-Za-z0-9\n]+[A-Za-z0-9]{{1,{RUN - 1}}})(?![A-Za-z0-9]))"
 
 
 def scan(text: str, places: list[re.Pattern], nothing: re.Pattern, begin: re.Pattern, end: re.Pattern, block: re.Pattern) -> list[tuple[int, int, int, int, str]]:
@@ -183,12 +188,19 @@ def find(files: DataFrame, owners: int = OWNERS, share: float = SHARE) -> DataFr
     index = index.crossJoin(total).select("literal", ((F.col("n_owners") > owners) & (F.col("n_owners") > share * F.col("all_owners"))).alias("placeholder"))
     kept = hits.join(index.where("not placeholder"), "literal").select("id", "first_line", "last_line", "start", "stop", "literal")
 
-    pieces = lambda c: F.regexp_extract_all(c, F.lit(PIECES), F.lit(0))
     structured = (F.length("literal") >= LEAST) & ~F.col("literal").contains("\n") & F.col("literal").rlike(r"\d|[!-/:-@\[-`{-~]") & F.col("literal").rlike("[A-Za-z]|\\d{8}")
-    anchor = F.array_max(F.transform(pieces(F.col("literal")), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    confirmed = index.where("not placeholder").where(structured).select("literal", anchor.alias("piece")).where("length(piece) >= 6")
-    held = files.select("id", F.explode(F.array_distinct(pieces(F.col("text")))).alias("piece")).where("length(piece) >= 6")
-    wanted = held.join(confirmed, "piece").groupBy("id").agg(F.collect_set("literal").alias("literals"))
+    longest = lambda xs: F.array_max(F.transform(xs, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    runs, pairs = (lambda c, p=p: F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in (RUNS, PAIRS))
+    long = lambda c: F.filter(runs(c), lambda p: F.length(p) >= RUN)
+    keys = [longest(long(F.col("literal"))), longest(pairs(F.col("literal"))), longest(runs(F.col("literal")))]
+    confirmed = index.where("not placeholder").where(structured).select("literal", F.coalesce(*keys).alias("key"), F.coalesce(*keys[:2]).isNull().alias("bare"))
+    confirmed = stored(confirmed, "confirmed")
+    text = F.col("text")
+    parts = [long(text), pairs(text)]
+    if not confirmed.where("bare").isEmpty():
+        parts.append(F.filter(runs(text), lambda p: F.length(p) < RUN))
+    held = files.select("id", F.explode(F.array_distinct(F.concat(*parts))).alias("key"))
+    wanted = held.join(confirmed, "key").groupBy("id").agg(F.collect_set("literal").alias("literals"))
     again = files.select("id", "text").dropDuplicates(["id"]).join(wanted, "id").mapInPandas(_rescan_files, f"id {kind}, {HIT}")
     return kept.unionByName(again).distinct()
 

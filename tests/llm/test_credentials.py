@@ -47,6 +47,14 @@ def test_confirmed_literals_are_found_elsewhere(spark):
     assert cases(spark, rows) == [(1, 1, 1), (2, 2, 2)]
 
 
+def test_confirmed_literals_at_any_boundary_and_of_short_runs(spark):
+    secrets = ["Abc12345", "Tundr@!407", "a-b-c-d-e-1", "!!ab12##", "Zz9é-Q8w7e"]
+    places = [(i, f"h{i}", f"password {x}\n") for i, x in enumerate(secrets)]
+    elsewhere = [(10 * k + i + 10, "o", f"note\nask: {a}{x}{b}\n") for i, x in enumerate(secrets) for k, (a, b) in enumerate((("", "."), ("`", "`"), ("*", "~"), ("_", "$ x")))]
+    none = [(90 + i, "o", f"note\nask: x{x}1\n") for i, x in enumerate(secrets) if x[0].isalnum()]
+    assert cases(spark, places + elsewhere + none) == [(i, 1, 1) for i, _, _ in places] + sorted((i, 2, 2) for i, _, _ in elsewhere)
+
+
 def test_literals_of_many_owners_are_placeholders(spark):
     rows = [(i, f"h{i}", "password sitewide-default\n") for i in range(20)] + [(99, "x", "password own-Secret-1\n")]
     assert cases(spark, rows) == [(99, 1, 1)]
