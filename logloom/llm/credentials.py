@@ -86,6 +86,19 @@ RUNS = r"([A-Za-z0-9]+)"
 PAIRS = rf"(?<![A-Za-z0-9])(?=([A-Za-z0-9]{{1,{RUN - 1}}}[^A-Za-z0-9\n]+[A-Za-z0-9]{{1,{RUN - 1}}})(?![A-Za-z0-9]))"
 
 
+#: What stands before and after quoted words that are a prompt, a message or a part of an expression.
+TALK = re.compile(r"(?i)prompt|getpass|input\s*\(|\bread\s+-|\bprint|\becho\b|\blog\w*\.|\bexpect\b|\b(?:raise|die|warn|error)\w*\W")
+JOINED = re.compile(r"\s*(?:[+%&]|\.\w)")
+COMMENT = r"(?i)^\s*(?:[!#;]|//|--)"
+
+
+def phrase(line: str, a: int, b: int) -> bool:
+    """Whether the quoted words line[a:b] are a value: not what stands between two strings, not joined on, not said to anyone."""
+    mark = line[a - 1]
+    opened = (line.count(mark, 0, a - 1) - line.count("\\" + mark, 0, a - 1)) % 2 == 0
+    return opened and not JOINED.match(line, b + 1) and not TALK.search(line, 0, a - 1) and not line[a:b].rstrip().endswith((":", "?", ">"))
+
+
 def scan(text: str, places: list[re.Pattern], nothing: re.Pattern, begin: re.Pattern, end: re.Pattern, block: re.Pattern) -> list[tuple[int, int, int, int, str]]:
     """(first line, last line, start, end, literal) of every place of a credential in a text; lines count from 1."""
     found, at, lines, sign = [], 0, text.split("\n"), re.compile(SIGN).search
@@ -137,7 +150,7 @@ def scan(text: str, places: list[re.Pattern], nothing: re.Pattern, begin: re.Pat
                         quoted = False
                         cut = v.rstrip("\"');,")
                         v, b = cut, b - (len(v) - len(cut))
-                    if v and not nothing.match(v) and not (quoted and " " in v.strip() and not v.startswith("$")):
+                    if v and not nothing.match(v) and not (quoted and " " in v.strip() and not v.startswith("$") and (p.pattern.startswith(COMMENT) or not phrase(line, a, b))):
                         found.append((n + 1, n + 1, starts[n] + a, starts[n] + b, v))
         n += 1
     return found

@@ -34,6 +34,12 @@ def test_places(spark):
     assert [c[0] for c in cases(spark, rows)] == list(range(len(YES)))
 
 
+def test_quoted_pass_phrases(spark):
+    yes = ['passphrase: "correct horse battery staple"', "wifi_password = 'correct horse battery'", '  "passphrase": "correct horse", "user": "x"', 'set security ike policy P0 pre-shared-key ascii-text "correct horse battery"', 'enable secret 0 "correct horse"']
+    no = ['password = input("the password please: ")', 'print("password: " + x + " is wrong")', 'password = "the user " + name', 'password: "Type your password: "', "log.warn('token: \"not set here\"')", 'read -p "password: " pw; echo "token: none today"']
+    assert [c[0] for c in cases(spark, [(i, f"h{i}", x) for i, x in enumerate(yes + no)])] == list(range(len(yes)))
+
+
 def test_blocks_and_folded_values(spark):
     open_end = "-----BEGIN PRIVATE KEY-----\nAbC\nDeF\n"
     folded = "x:\n  bind_password: >-\n    saffron.falcon\n    more\n  other: 1\n"
