@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import hosts, stamps
-from logloom.functions.session import sized, stored
+from logloom.functions.session import sized
 
 #: Microseconds a unit of an epoch stamp has, by format name; nanoseconds divide.
 UNITS = ("epoch_s", "epoch_ms", "epoch_us", "epoch_ns")
@@ -38,12 +38,12 @@ def _bucket(delay_us: Column) -> Column:
 def _epoch_us(digits: Column, fraction: Column, unit: str) -> Column:
     """Microseconds of digits read in a unit; null where they leave the range of a timestamp."""
     n = digits.try_cast("bigint")
-    part = F.when(fraction == "", 0).otherwise(F.rpad(fraction, 6, "0").try_cast("bigint"))
+    part = lambda k: F.when(fraction == "", 0).otherwise(F.rpad(fraction, k, "0").try_cast("bigint"))
     whole = {
-        "epoch_s": F.when(n < 100_000_000_000, n * 1_000_000 + part),
-        "epoch_ms": F.when(n < 100_000_000_000_000, n * 1000),
+        "epoch_s": F.when(n < 100_000_000_000, n * 1_000_000 + part(6)),
+        "epoch_ms": F.when(n < 100_000_000_000_000, n * 1000 + part(3)),
         "epoch_us": F.when(n < 100_000_000_000_000_000, n),
-        "epoch_ns": ((n - n % 1000) / 1000).cast("bigint"),
+        "epoch_ns": F.call_function("div", n, F.lit(1000)),  # whole numbers: a double has too few digits
     }
     return whole[unit]
 
@@ -163,4 +163,4 @@ def stamp_rows(df: DataFrame, row_id: str, *keep: str) -> DataFrame:
 def table_instants(df: DataFrame, row_id: str, inventory: DataFrame, sites: DataFrame) -> DataFrame:
     """normalize() over a whole table with the zones of its hosts."""
     rows = stamp_rows(df, row_id)
-    return normalize(rows, sized(stored(hosts.host_zones(inventory, sites), "zones")), sized(stored(fit_mixture(rows), "mixture")))
+    return normalize(rows, sized(hosts.host_zones(inventory, sites), "zones"), sized(fit_mixture(rows), "mixture"))

@@ -95,6 +95,14 @@ def test_units_of_digits(spark, zones):
     assert got[20]["utc_us"] % 1_000_000 == 250_000
 
 
+def test_finer_digits_are_cut_off(spark, zones):
+    """Nineteen digits are more than a double holds."""
+    ns = [1761708937058320025, 1761708937058319999, 1761708937000000999, 1761453595999999999]
+    rows = [(str(n), "fra1-a", datetime.fromtimestamp(n // 10**9 + 3, UTC)) for n in ns] + [("1761453595123.4567", "fra1-a", SEEN)]
+    got = read(spark, zones, rows)
+    assert [got[i]["utc_us"] for i in range(5)] == [n // 1000 for n in ns] + [1761453595123456]
+
+
 def test_slash_order_by_mixture(spark, zones):
     """A source that prints days first shows it with days over 12; a source with nothing to tell by stays ambiguous."""
     seen = datetime(2025, 10, 11, 12, 0, tzinfo=UTC)
