@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -10,8 +12,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension is hinted for broadcast; above it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes, written out as JSON, up to which a stored dimension is hinted for broadcast; above them the join shuffles.
+BROADCAST_BYTES = 32 << 20
+_made: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,29 +23,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="logloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/logloom/{label}-{uuid.uuid4().hex}"
+    """A fresh folder below the application's own in the shared one, which is deleted when the driver's process ends."""
+    own = f"{shared_dir(spark)}/logloom/{spark.sparkContext.applicationId}"
+    if own not in _made:
+        _made.add(own)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(jvm, conf, path: str) -> None:
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # noqa: BLE001, S110 - the virtual machine is gone: the folder's owner has to clean up
+        pass
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def sized(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """dim, hinted for broadcast only if a count shows that it has max_rows rows at most."""
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def sized(dim: DataFrame, label: str = "dimension", most: int = BROADCAST_BYTES) -> DataFrame:
+    """dim, stored, and hinted for broadcast only if its rows take `most` bytes at most, written out."""
+    own = dim if hasattr(dim, "_stored_at") else stored(dim, label)
+    if size_of(own.sparkSession, own._stored_at) > most:
+        return own
+    width = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0)).cast("bigint")
+    return F.broadcast(own) if (own.agg(F.sum(width)).first()[0] or 0) <= most else own
 
 
 def ranked(df: DataFrame, order: list, out: str) -> DataFrame:

@@ -92,3 +92,16 @@ def test_patterns_need_their_words():
         assert needed(p), p
         for t in texts:
             assert not re.search(p, t) or any(w in t for w in needed(p))
+
+
+def test_needed_texts():
+    """Every text that a pattern matches holds one of its needed texts."""
+    import re
+
+    from logloom.functions.guards import needed
+
+    assert needed("abc.*(?:def|gh+i)") == ["abc"] and needed("(?:ab|cd)e?x") == ["ab", "cd"] and needed(r"a?b\.cd{2}") == ["b.cd"] and needed("(?i)abc") == [] and needed("[ab]+|cd") == [] and needed(r"x(?=yz)") == []
+    samples = ["bgp peer down", "lacp timeout", "vrrp master change", "%bgp-3-notification x", "link state changed to down", "swap exhausted", "commit confirmed", "ospf neighbor down", "kernel panic", "rpd_isis x", "craft interface", "config x change"]
+    for pattern, *_ in rules.CLASSIFICATION:
+        words = needed(pattern)
+        assert not words or all(any(w in s for w in words) for s in samples if re.search(pattern, s))
