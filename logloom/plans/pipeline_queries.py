@@ -25,11 +25,11 @@ def p1_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.feature_cells(spark, sf_dir)
+    return features.cells_of(features.feature_table(spark, sf_dir))
 
 
 def p2_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.feature_rows(features.feature_cells(spark, sf_dir))
+    return features.feature_table(spark, sf_dir)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
