@@ -20,8 +20,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LogEvent rows with the whole text of every entry."""
-    return lines.entries(lines.sources(table(spark, sf_dir, "raw_line"), table(spark, sf_dir, "log_event")), with_text=True)
+    """LogEvent rows with the whole message and text of every entry."""
+    return lines.entries(lines.sources(table(spark, sf_dir, "raw_line"), table(spark, sf_dir, "log_event")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,15 @@ TEXT = [
     ("Oct  9 19:01:57 h1 rpd: %PEER-4-NOTE: handshake", "rfc3164", "warning", "rpd"),
     ("﻿Oct  9 19:01:57 h1 rpd: plain\r", "rfc3164", "info", "rpd"),
     ('<84>1 2025-10-10T16:52:01.002+05:30 h1 zebra 18 ID94 [origin software="zebra"] x', "rfc5424", "warning", "zebra"),
+    ("2026-11-26T10:00:00Z h1 other[2]: second program", "stamped", "info", "other"),
+    ("2026-11-26 10:00:01 INFO x - msg", "stamped", "info", "x"),
+    ("[2026-11-26 10:00:01.5] ERROR app: m", "stamped", "err", "app"),
+    ("Thu Nov 26 10:00:01 2026 only text", "stamped", "info", None),
+    ('10.1.2.3 - - [26/Nov/2026:10:00:01 +0000] "GET / HTTP/1.1" 500 3', "access", "info", None),
+    ('level=warn ts=2026-11-26T10:00:01Z component=a.b msg="m m"', "pairs", "warning", "a.b"),
+    ("26-Nov-2026 10:00:00.123 SEVERE [http-nio-8080-exec-1-long-name-here-a-b-c-d] org.apache.catalina.core.StandardWrapperValve.invoke Servlet failed", "servlet", "err", "org.apache.catalina.core.StandardWrapperValve.invoke"),
+    ("Oct  9 19:01:57 2001:db8:1:2:3:4:5:6-long-host-name.example.net a-b.c-d.e-f.g-h[17]: text", "rfc3164", "info", "a-b.c-d.e-f.g-h"),
+    ("W1010 08:00:21.200259   10879 a/b/c-d/e.f/g/h-i/j/k.l/m-n/o/p.q/r/lease.go:475] x", "glog", "warning", "a/b/c-d/e.f/g/h-i/j/k.l/m-n/o/p.q/r/lease.go"),
     ("2:12:34.14 §queue depth", "terminal", "info", "scrt-session"),
     ("2025/10/15 09:54:05 errors: ZEBRA: [6R522-37TRF] clock", "routing", "err", "ZEBRA"),
     ("2025/10/15 09:54:05.123 BGP: clock", "routing", "info", "BGP"),
@@ -32,9 +41,24 @@ def run(spark, rows, **kw):
 def test_every_rule(spark):
     rows = [("t", "a", i, x[0]) for i, x in enumerate(TEXT)]
     got = run(spark, rows)
-    assert [(got["a", i]["severity_raw"], got["a", i]["appname"]) for i in range(len(TEXT))] == [x[2:] for x in TEXT]
-    assert got["a", 0]["timestamp"] == "Oct 10 03:00:04" and got["a", 0]["message"] == "neighbour lost"
-    assert got["a", 9]["message"] == "level=err: y"
+    assert [(got["a", i]["rule"], got["a", i]["severity_raw"], got["a", i]["appname"]) for i in range(len(TEXT))] == [x[1:] for x in TEXT]
+    told = {x[0]: got["a", i] for i, x in enumerate(TEXT)}
+    first, stamped, pairs = told[TEXT[0][0]], told[TEXT[4][0]], next(r for t, r in told.items() if "netpoll.snmp" in t)
+    assert first["timestamp"] == "Oct 10 03:00:04" and first["message"] == "neighbour lost"
+    assert stamped["timestamp"] == "2026-11-26T10:00:00Z" and stamped["message"] == "second program" and pairs["message"] == "level=err: y"
+    assert told["level=warn ts=2026-11-26T10:00:01Z component=a.b msg=\"m m\""]["timestamp"] == "2026-11-26T10:00:01Z"
+
+
+def test_messages_are_whole(spark):
+    rows = [("t", "a", 1, TEXT[0][0]), ("t", "a", 2, "\tat a.b.C"), ("t", "a", 3, ""), ("t", "a", 4, "  end "), ("t", "a", 5, " "), ("t", "a", 6, '{"level": "warn", "msg": "m"}'), ("t", "a", 7, "x"), ("t", "a", 8, "{"), ("t", "a", 9, '  "msg": "n"'), ("t", "a", 10, "}"), ("t", "a", 11, "y")]
+    for block in (2, 100):
+        got = run(spark, rows, block=block)
+        assert [got["a", i]["message"] for i in (1, 6, 8)] == ["neighbour lost\n\tat a.b.C\n\n  end ", "m\nx", "n\ny"] and got["a", 1]["text"].endswith("  end ")
+
+
+def test_fields_cost_nothing_unselected(spark):
+    plan = lines.entries(spark.createDataFrame([], SCHEMA)).select("first_seq", "last_seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
 
 
 def test_continuations_of_mixed_streams_in_blocks(spark):
@@ -63,9 +87,9 @@ def test_continuations_of_mixed_streams_in_blocks(spark):
 def test_json_over_lines(spark):
     text = ["{", '  "ts": "2025-10-10T23:53:49.975Z",', '  "lvl": "warn",', '  "logger": "a.b",', "", '  "msg": "m"', "}", "stray"]
     rows = [("t", "a", i, x) for i, x in enumerate(text)] + [("t", "b", 1, "\n".join(text[:7]))]
-    got = run(spark, rows, block=2, with_text=True)
+    got = run(spark, rows, block=2)
     a, b = got["a", 0], got["b", 1]
-    assert (a["last_seq"], a["severity_raw"], a["appname"], a["message"], a["timestamp"]) == (7, "warning", "a.b", "m", "2025-10-10T23:53:49.975Z")
+    assert (a["last_seq"], a["severity_raw"], a["appname"], a["message"], a["timestamp"]) == (7, "warning", "a.b", "m\nstray", "2025-10-10T23:53:49.975Z")
     assert a["text"].startswith("{\n") and a["text"].endswith("stray")
     assert (b["severity_raw"], b["appname"], b["message"]) == ("warning", "a.b", "m")
 
