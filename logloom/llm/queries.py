@@ -19,8 +19,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "classified_event")
     category = F.coalesce(F.when(norm_word("category") != "", norm_word("category")), F.lit("other"))
     rows = timestamps.stamp_rows(events.withColumn("row", F.struct("event_id", category.alias("category"))), "row")
-    zones = sized(host_zones(table(spark, sf_dir, "device_inventory"), table(spark, sf_dir, "site_manifest")))
-    at = timestamps.normalize(rows, zones, sized(timestamps.fit_mixture(rows)))
+    zones = sized(host_zones(table(spark, sf_dir, "device_inventory"), table(spark, sf_dir, "site_manifest")), "zones")
+    at = timestamps.normalize(rows, zones, sized(timestamps.fit_mixture(rows), "mixture"))
     at = at.where("source is not null and utc_us is not null").select(F.col("source").alias("host"), F.col("utc_us").alias("us"), F.col("row_id.event_id").alias("id"), F.col("row_id.category").alias("kind"))
     found = runs.runs(stored(at, "instants")).where("n >= 3")
     return found.select(F.col("host").alias("hostname"), F.col("kinds")[0].alias("category"), F.col("first_id").alias("first_event_id"), F.col("last_id").alias("last_event_id"), F.col("n").alias("n_events"), (F.col("last_us") - F.col("first_us")).alias("duration_us"))
@@ -53,6 +53,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
 
+def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest passage of each document and item, and where it begins in either, in words from 0 on."""
+    return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents left when those that hold a passage are taken out."""
     documents = table(spark, sf_dir, "documents")
@@ -75,6 +80,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every target, whether its share and its limit of repetitions are kept."""
+    return mixing.kept(p8_shares(spark, sf_dir))
+
+
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return reading.levels(documents, reading.fit(documents, table(spark, sf_dir, "reading_label")))
@@ -85,7 +95,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p5_found, p5_redacted, p6_found, p6_links, p7_found, p7_cleaned, p8_selection, p8_shares, p9_found, p9_levels)}
+    return {f.__name__: f for f in (p4_found, p5_found, p5_redacted, p6_found, p6_links, p7_found, p7_places, p7_cleaned, p8_selection, p8_shares, p8_kept, p9_found, p9_levels)}
 
 
 NEAR = """WITH t AS (SELECT 'log_event' AS src_table, seq AS k, message AS txt FROM log_event WHERE NOT coalesce(appname = 'syslog' AND "timestamp" = '', false)
@@ -105,6 +115,12 @@ LEAKS = """WITH i AS (SELECT item_id, list_transform(regexp_extract_all(item_tex
 def oracle_sql() -> dict[str, str]:
     return {
         "p6_found": NEAR,
+        "p8_kept": "SELECT lower(trim(source)) AS source, true AS share_kept, true AS repeats_kept FROM mix_target",
         "p7_found": LEAKS + " SELECT doc_id, item_id FROM f",
+        "p7_places": LEAKS + """, ip AS (SELECT item_id, p, array_to_string(w[p : p + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i)),
+ dp AS (SELECT doc_id, p, array_to_string(w[p : p + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d)),
+ hit AS (SELECT DISTINCT doc_id, item_id, dp.p AS dp, ip.p AS ip, dp.p - row_number() OVER (PARTITION BY doc_id, item_id, dp.p - ip.p ORDER BY dp.p) AS run FROM dp JOIN ip USING (g)),
+ runs AS (SELECT doc_id, item_id, count(*) + 11 AS n_words, min(dp) - 1 AS doc_word, min(ip) - 1 AS item_word FROM hit GROUP BY doc_id, item_id, dp - ip, run)
+ SELECT doc_id, item_id, n_words, doc_word, item_word FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, doc_word, item_word) = 1""",
         "p7_cleaned": LEAKS + " SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)",
     }

@@ -2,6 +2,9 @@
 
 import random
 import re
+import time
+
+import numpy as np
 
 from logloom.llm import leaks
 
@@ -47,7 +50,34 @@ def test_equals_plain_search(spark):
         docs.append((d, " ".join(parts)))
     want = plain(docs, items, 6)
     assert want and got(spark, docs, items, least=6) == want
-    assert got(spark, docs, items, least=6, shard_words=40, block=5) == want
+    assert got(spark, docs, items, least=6, shard_words=40, block_words=60) == want
+
+
+def test_suffix_order():
+    """All words up to the next 0 decide, not only the first ones; equal suffixes stand by position."""
+    assert leaks.suffix_array(np.array([1, 2, 3, 9, 0, 1, 2, 3, 5, 0, 1, 2, 3, 7, 0]), 3).tolist() == [5, 10, 0, 6, 11, 1]
+    rng = random.Random(4)
+    for n in (0, 1, 5, 40, 700):
+        for width in (2, 4, 300):
+            text = [rng.randrange(width) for _ in range(n)]
+            end = lambda p: next((i for i in range(p, n) if text[i] == 0), n)  # noqa: E731, B023
+            want = sorted((p for p in range(n) if end(p) - p >= 2), key=lambda p: (text[p : end(p)], p))
+            assert leaks.suffix_array(np.array(text, dtype=np.int64), 2).tolist() == want
+
+
+def test_a_passage_with_many_copies():
+    item = np.arange(1, 101)
+    text = np.tile(np.append(item[20:80], 0), 100_000)
+    began = time.time()
+    found = leaks.matches(text[:1_220_000], np.arange(0, 1_220_000, 61), [item, item[30:60]], 12)
+    assert len(found) == 40_000 and set(found["n_words"]) == {60, 30} and set(found["doc_word"]) == {0, 10} and time.time() - began < 60
+
+
+def test_places(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = [(1, "x y " + " ".join(item.split()[3:17]) + " z " + " ".join(item.split()[5:19]) + " z " + " ".join(item.split()[:12]))]
+    row = leaks.find(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], ITEMS)).collect()[0]
+    assert (row["n_words"], row["doc_word"], row["item_word"]) == (14, 2, 3)
 
 
 def test_twelve_words_and_borders(spark):
