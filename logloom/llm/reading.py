@@ -111,7 +111,8 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_RATED):
     rating = F.coalesce((band("band_a") + band("band_b")) / 2.0, band("band_a"), band("band_b"))
     rated = labels.select("doc_id", rating.alias("rating")).where("rating is not null").groupBy("doc_id").agg(F.avg("rating").alias("rating"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = documents.select("doc_id", "text").where("text is not null").join(rated, "doc_id").dropDuplicates(["doc_id"])
+    # Bounded by `most`, so the texts stay where they are.
+    sample = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(rated), "doc_id").dropDuplicates(["doc_id"])
     sample = sample.withColumn("rating", F.round(F.col("rating") * 2) / 2)
     schema = "words array<string>, grades array<double>, coefficients array<double>, limits array<double>"
     rows = sample.repartition(1).mapInPandas(_fit, schema).collect()  # one row; the sample is bounded
