@@ -3,7 +3,12 @@
 Events are ordered by host, instant and id and cut into ranges of about equal size: a host that holds a third of all events
 spreads over many ranges. Each range is agglomerated alone: its runs form a linked list, a priority queue holds the pairs
 of neighbours that may merge, the most similar pair merges first, until none meets the limits of similarity and gap. The
-runs at the edges of ranges meet in a second pass, which sees a few rows per range and host."""
+runs at the edges of ranges meet in a second pass, which sees a few rows per range and host.
+
+The number of ranges follows the number of events. Within a range events are agglomerated HELD at a time: a cut falls where
+nothing can merge, or behind a run that goes on; with the limit of alike kinds only that last run may still merge, and is
+carried over. Lower limits may merge across any number of events without a pause, so there a whole range is held, which the
+number of rows of a range bounds."""
 
 from __future__ import annotations
 
@@ -17,6 +22,8 @@ from pyspark.sql import functions as F
 from logloom.functions.session import stored
 
 GAP_US = 600_000_000
+#: Events of a range, and events that a task holds at a time where all kinds of a run are alike.
+RANGE_ROWS, HELD = 500_000, 20_000
 RUN = "host string, kinds array<string>, counts array<bigint>, first_us bigint, first_id bigint, last_us bigint, last_id bigint, n bigint, part int, edge boolean"
 COLUMNS = ("host", "kinds", "counts", "first_us", "first_id", "last_us", "last_id", "n")
 
@@ -81,10 +88,13 @@ def _ranges(least: float, gap_us: int):
                     continue  # the same event again
                 last_key = (h, us, i)
                 # Nothing merges across another host or a gap that is too long: what lies before it is complete.
-                if held and (held[-1][0] != h or us - held[-1][4] > gap_us) and len(held) > 20_000:
+                apart = bool(held) and (held[-1][0] != h or us - held[-1][4] > gap_us)
+                if len(held) > HELD and (apart or least >= 1):
                     runs = agglomerate(held, least, gap_us)
-                    yield _frame(runs, part, {0} if first else set())
-                    held, first = [], False
+                    held = [] if apart else [runs.pop()]
+                    if runs:
+                        yield _frame(runs, part, {0} if first else set())
+                        first = False
                 held.append([h, {kind: 1}, us, i, us, i, 1])
         if held:
             runs = agglomerate(held, least, gap_us)
@@ -120,7 +130,7 @@ def runs(events: DataFrame, least: float = 1.0, gap_us: int = GAP_US, partitions
     is the kind ''; equal instants are ordered by id. With least below 1 the order of merges at the edges of ranges may
     differ from that in one range; with 1 the result doesn't depend on the ranges."""
     rows = events.where("host is not null and us is not null").select("host", "us", "id", F.coalesce("kind", F.lit("")).alias("kind"))
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS + 1)
     ranged = rows.repartitionByRange(n, "host", "us", "id").sortWithinPartitions("host", "us", "id")
     found = ranged.mapInPandas(_ranges(least, gap_us), RUN)
     found = stored(found, "runs")

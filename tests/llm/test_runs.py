@@ -39,6 +39,16 @@ def test_one_long_run_over_all_ranges(spark):
     assert got(spark.createDataFrame(rows, SCHEMA), gap_us=1, partitions=8) == [("a", "x", 0, 0, 4999, 4999, 5000)]
 
 
+def test_little_is_held(spark, monkeypatch):
+    """A host that never pauses is folded piece by piece; runs go on from piece to piece."""
+    monkeypatch.setattr(runs, "HELD", 7)
+    rng = random.Random(6)
+    rows = [("a" if i < 1500 else "b", i, i, "x" if rng.random() < 0.9 else "y") for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for n in (1, 4):
+        assert got(df, gap_us=5, partitions=n) == plain(rows, 5)
+
+
 def test_agglomeration_takes_the_most_similar_first():
     def run(i, **kinds):
         return ["h", dict(kinds), i, i, i, i, sum(kinds.values())]
