@@ -1,13 +1,15 @@
 """Texts whose words are nearly the same: an exact similarity join of word multisets.
 
 A multiset is a set of numbered words (the second `port` of a text is another element than the first). Elements have a
-global order, rare ones first. Two sets at the threshold share an element within a prefix of each, so sets meet by prefix
-elements. At a meeting
+global order, rare ones first, and are called by their rank in it; an element of one set alone can't be in common and counts
+in the set's size only. Two sets at the threshold share an element within a prefix of each, so sets meet by prefix elements.
+At a meeting
 
 - the index lists the smaller sets in blocks by the position at which the element stands in them, each block by size; blocks
   that stand too far back to reach the threshold are skipped, and so are sizes outside of it;
-- a set much like one before it doesn't start anew: its overlaps are those of the other set, corrected by the few elements
-  in which the two differ.
+- a set much like one before it, its leader, takes over the leader's candidates and their overlaps. What the leader's overlap
+  and the difference of the two sets keep below the threshold is skipped unseen, the rest is corrected by the few elements
+  in which the two differ, and only sets behind the leader are looked for in the index.
 
 Equal multisets are one class; only classes meet. A meeting of more than CHUNK sets is split into pairs of chunks."""
 
@@ -23,13 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.session import stored
+from logloom.functions.session import ranked, stored
 
 THRESHOLD, LEAST_WORDS = 0.8, 40
 #: An element in at least this share of the classes is frequent; there are at most (mean size / FREQUENT) of them.
 FREQUENT = 0.002
 #: Sets of a meeting that one task takes.
 CHUNK = 2_000
+#: Leaders that a meeting remembers, and sets by which one may lie back.
+LEADERS, REACH = 8, 256
 
 
 def need(threshold: float, a: int, b: int) -> int:
@@ -49,7 +53,7 @@ def short_prefix(threshold: float, n: int) -> int:
 
 def _number(least: int):
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[str, int], int] = {}
+        seen: dict[tuple[str, str, int], int] = {}
         for batch in batches:
             rows = []
             for kind, key, ws in zip(batch["kind"], batch["key"], batch["words"], strict=True):
@@ -58,10 +62,10 @@ def _number(least: int):
                 out = []
                 for w, n in Counter(ws).items():
                     for k in range(n):
-                        if (x := seen.get((w, k))) is None:
-                            x = int.from_bytes(blake2b(f"{k}:{w}".encode(), digest_size=8).digest(), "big", signed=True)
+                        if (x := seen.get((kind, w, k))) is None:
+                            x = int.from_bytes(blake2b(f"{kind}:{k}:{w}".encode(), digest_size=8).digest(), "big", signed=True)
                             if len(seen) < 500_000:
-                                seen[w, k] = x
+                                seen[kind, w, k] = x
                         out.append(x)
                 out.sort()
                 rows.append((kind, key, out, blake2b(b"".join(x.to_bytes(8, "big", signed=True) for x in out), digest_size=16).hexdigest()))
@@ -71,40 +75,29 @@ def _number(least: int):
 
 
 def members(texts: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """kind, key, elements, class of texts(kind, key, text) with at least `least` words; equal multisets share a class."""
+    """kind, key, elements, class of texts(kind, key, text) with at least `least` words; equal multisets of a kind share a class.
+
+    Elements of different kinds differ. Null texts are left out."""
     words = F.transform(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
     return texts.where("text is not null").select("kind", "key", words.alias("words")).mapInPandas(_number(least), "kind string, key bigint, elements array<bigint>, class string")
 
 
-def _order(frequent: dict[int, int], threshold: float):
-    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for kind, cls, elements, rare in zip(batch["kind"], batch["class"], batch["elements"], batch["rare"], strict=True):
-                at = {} if rare is None else {int(r["x"]): int(r["n"]) for r in rare}
-                xs = sorted(map(int, elements), key=lambda x: (frequent.get(x) or at.get(x, 1), x))
-                rows.append((kind, cls, len(xs), xs, xs[: prefix(threshold, len(xs))]))
-            yield pd.DataFrame(rows, columns=["kind", "class", "size", "xs", "head"])
-
-    return order
-
-
 class Meeting:
-    """Sets that share an element, as (class, elements in order, position of the shared element)."""
+    """Sets that share an element, as (id, ranks of the elements that others have too, size, position of the shared element)."""
 
-    def __init__(self, sets: list[tuple[str, list[int], int]], threshold: float):
-        self.t, self.sets = threshold, sorted(sets, key=lambda s: (len(s[1]), s[1], s[0]))
-        self.sizes, self.own = [len(s[1]) for s in self.sets], [frozenset(s[1]) for s in self.sets]
+    def __init__(self, sets: list[tuple[int, list[int], int, int]], threshold: float):
+        self.t, self.sets = threshold, sorted(sets, key=lambda s: (s[2], s[1], s[0]))
+        self.sizes, self.own, self.at = [s[2] for s in self.sets], [frozenset(s[1]) for s in self.sets], [s[3] for s in self.sets]
         self.blocks: dict[int, list[int]] = defaultdict(list)
-        for i, (_, xs, at) in enumerate(self.sets):
-            if at < short_prefix(threshold, len(xs)):
+        for i, (_, _, size, at) in enumerate(self.sets):
+            if at < short_prefix(threshold, size):
                 self.blocks[at].append(i)  # by size, as the sets are
         self.order = sorted(self.blocks)
 
-    def candidates(self, i: int) -> Iterator[int]:
-        """Sets before i that may be similar to it with the shared element as the first in common."""
-        n, at = self.sizes[i], self.sets[i][2]
-        low = bisect_left(self.sizes, math.ceil(self.t * n - 1e-9))
+    def candidates(self, i: int, begin: int = 0) -> Iterator[int]:
+        """Sets from begin on and before i that may be similar to it with the shared element as the first in common."""
+        n, at = self.sizes[i], self.at[i]
+        low = max(begin, bisect_left(self.sizes, math.ceil(self.t * n - 1e-9)))
         if low >= i or n - at < need(self.t, n, self.sizes[low]):
             return
         for back in self.order:
@@ -116,52 +109,72 @@ class Meeting:
                 if self.sizes[j] - back >= least and n - at >= least:
                     yield j
 
+    def leader(self, i: int, leaders: list[tuple[int, dict[int, int]]]) -> tuple | None:
+        """The newest leader much like i, with what i has more and less than it.
+
+        As sets come by size, and if no more of i than of the leader stands behind the shared element, a set before the leader
+        that may be similar to i is among the leader's candidates."""
+        for at, known in reversed(leaders):
+            if i - at > REACH:
+                return None
+            if self.sizes[i] - self.at[i] <= self.sizes[at] - self.at[at]:
+                more, less = self.own[i] - self.own[at], self.own[at] - self.own[i]
+                if 4 * (len(more) + len(less)) <= len(self.own[i]):
+                    return at, known, more, less
+        return None
+
     def answers(self) -> Iterator[tuple[int, int, int]]:
         """(i, j, common) of every similar pair j < i whose first common element may be the shared one."""
-        last, known = -1, {}
+        leaders: list[tuple[int, dict[int, int]]] = []
         for i in range(len(self.sets)):
-            own, found, more, less = self.own[i], {}, None, None
-            if last >= 0:
-                more, less = own - self.own[last], self.own[last] - own
-                if 4 * (len(more) + len(less)) > self.sizes[i]:
-                    more = None
-            for j in self.candidates(i):
-                if more is not None and j in known:
-                    other = self.own[j]
-                    c = known[j] + len(more & other) - len(less & other)
-                else:
+            own, n = self.own[i], self.sizes[i]
+            if found := self.leader(i, leaders):
+                begin, known, more, less = found
+                for j, c in known.items():
+                    least = need(self.t, n, self.sizes[j])
+                    if c + len(more) >= least:
+                        c += len(more & self.own[j]) - len(less & self.own[j])
+                        if c >= least:
+                            yield i, j, c
+                for j in self.candidates(i, begin):
                     c = len(own & self.own[j])
-                found[j] = c
-                if c >= need(self.t, self.sizes[i], self.sizes[j]):
+                    if c >= need(self.t, n, self.sizes[j]):
+                        yield i, j, c
+                continue
+            known = {}
+            for j in self.candidates(i):
+                known[j] = c = len(own & self.own[j])
+                if c >= need(self.t, n, self.sizes[j]):
                     yield i, j, c
-            last, known = i, found
+            leaders = [*leaders[1 - LEADERS :], (i, known)]
 
 
 def _meet(threshold: float):
-    def pairs(kind: str, element: int, low: int, high: int, chunk: dict[str, int], sets: list) -> list[tuple]:
+    def pairs(element: int, low: int, high: int, chunk: dict[int, int], sets: list) -> list[tuple]:
         meeting, rows = Meeting(sets, threshold), []
-        rank = [frozenset(xs[: prefix(threshold, len(xs))]) for _, xs, _ in meeting.sets]
+        # Elements of one set alone are the rarest: they stand in front and belong to the prefix.
+        head = [frozenset(xs[: prefix(threshold, size) - (size - len(xs))]) for _, xs, size, _ in meeting.sets]
         for i, j, c in meeting.answers():
-            (a, xs, _), (b, _, _) = meeting.sets[i], meeting.sets[j]
+            (a, xs, n, _), (b, _, m, _) = meeting.sets[i], meeting.sets[j]
             if low != high and chunk[a] == chunk[b]:
                 continue  # found where the chunk meets itself
-            first = next(x for x in xs if x in rank[j])
+            first = next(x for x in xs if x in head[j])
             if first == element:  # else the pair belongs to the meeting of an earlier element
-                rows.append((kind, min(a, b), max(a, b), c / (meeting.sizes[i] + meeting.sizes[j] - c)))
+                rows.append((a, b, c / (n + m - c)))
         return rows
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Meetings follow each other: rows come sorted by them."""
-        columns, at, chunk, sets = ["kind", "class_a", "class_b", "similarity"], None, {}, []
+        columns, at, chunk, sets = ["a", "b", "similarity"], None, {}, []
         for batch in batches:
             rows = []
-            for kind, element, low, high, c, cls, xs, pos in zip(batch["kind"], batch["element"], batch["low"], batch["high"], batch["chunk"], batch["class"], batch["xs"], batch["at"], strict=True):
-                if at != (kind, element, low, high):
+            for element, low, high, c, i, size, xs, pos in zip(batch["element"], batch["low"], batch["high"], batch["chunk"], batch["id"], batch["size"], batch["xs"], batch["at"], strict=True):
+                if at != (element, low, high):
                     if len(sets) > 1:
                         rows += pairs(*at, chunk, sets)
-                    at, chunk, sets = (kind, element, low, high), {}, []
-                chunk[cls] = c
-                sets.append((cls, xs.tolist(), pos))
+                    at, chunk, sets = (element, low, high), {}, []
+                chunk[i] = c
+                sets.append((i, xs.tolist(), size, pos))
             yield pd.DataFrame(rows, columns=columns)
         if len(sets) > 1:
             yield pd.DataFrame(pairs(*at, chunk, sets), columns=columns)
@@ -171,29 +184,36 @@ def _meet(threshold: float):
 
 def class_pairs(found: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """kind, class_a, class_b, similarity of every pair of different classes of members() at the threshold."""
-    classes = stored(found.groupBy("kind", "class").agg(F.first("elements").alias("elements")), "classes")
+    classes = found.groupBy("kind", "class").agg(F.first("elements").alias("elements"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     total = classes.count()
-    held = classes.select("kind", "class", F.explode("elements").alias("x"))
-    counts = stored(held.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "element-counts")
+    held = classes.select("id", F.size("elements").alias("size"), F.explode("elements").alias("x"))
+    ranks = ranked(held.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), ["n", "x"], "rank")
+    ranks = stored(ranks.withColumn("rank", F.col("rank").cast("int")) if total < 1 << 24 else ranks, "element-ranks")
     # Bounded: each class has its elements, so at most (mean size / FREQUENT) elements are in that share of the classes.
-    many = counts.where(F.col("n") >= max(2.0, FREQUENT * total))
-    frequent = {r["x"]: r["n"] for r in many.toLocalIterator()}
-    # Without the frequent ones no element is a hot key of the join. Elements of one class only needn't be looked up.
-    rare = held.join(F.broadcast(many), "x", "left_anti").join(counts, "x").groupBy("kind", "class").agg(F.collect_list(F.struct("x", "n")).alias("rare"))
-    ordered = stored(classes.join(rare, ["kind", "class"], "left").mapInPandas(_order(frequent, threshold), "kind string, class string, size int, xs array<bigint>, head array<bigint>"), "ordered")
-    heads = ordered.select("kind", "class", "size", F.posexplode("head").alias("at", "element"))
+    # Without the frequent ones no element is a hot key of the join.
+    is_many = F.col("n") >= max(2.0, FREQUENT * total)
+    many, few = F.broadcast(ranks.where(is_many).select("x", "rank")), ranks.where(~is_many).select("x", "rank")
+    known = held.join(many, "x").unionByName(held.join(many.select("x"), "x", "left_anti").join(few, "x"))
+    sets = stored(known.groupBy("id", "size").agg(F.array_sort(F.collect_list("rank")).alias("xs")), "sets")
+    alone = F.col("size") - F.size("xs")
+    head = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1 - alone
+    short = F.col("size") - F.ceil(2 * threshold / (1 + threshold) * F.col("size") - 1e-9).cast("int") + 1
+    heads = sets.where(head > 0).select("id", short.alias("short"), alone.alias("alone"), F.posexplode(F.slice("xs", F.lit(1), F.least(head, F.size("xs")))).alias("i", "element"))
+    heads = heads.select("id", "short", (F.col("i") + F.col("alone")).alias("at"), "element")
     # A meeting needs a set that has the element far enough in front for those that aren't smaller.
-    front = F.count_if(F.col("at") < F.col("short"))
-    heads = heads.withColumn("short", F.col("size") - F.ceil(2 * threshold / (1 + threshold) * F.col("size") - 1e-9) + 1)
-    shared = heads.groupBy("kind", "element").agg(F.count("*").alias("n"), front.alias("front")).where("n > 1 and front > 0").drop("front")
-    live = heads.join(shared, ["kind", "element"])
+    shared = heads.groupBy("element").agg(F.count("*").alias("n"), F.count_if(F.col("at") < F.col("short")).alias("front")).where("n > 1 and front > 0").drop("front")
+    live = heads.drop("short").join(shared, "element")
     pieces = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("class"), pieces).cast("int")
-    live = live.select("kind", "class", "element", "at", own.alias("chunk"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("other"))
-    live = live.select("kind", "class", "element", "at", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    key = ["kind", "element", "low", "high"]
-    met = live.join(ordered.select("kind", "class", "xs"), ["kind", "class"]).repartition(*key).sortWithinPartitions(*key)
-    return met.mapInPandas(_meet(threshold), "kind string, class_a string, class_b string, similarity double")
+    own = F.pmod(F.xxhash64("id"), pieces).cast("int")
+    live = live.select("id", "element", "at", own.alias("chunk"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("other"))
+    live = live.select("id", "element", "at", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    key = ["element", "low", "high"]
+    met = live.join(sets, "id").repartition(*key).sortWithinPartitions(*key)
+    similar = met.mapInPandas(_meet(threshold), "a bigint, b bigint, similarity double")
+    name = classes.select("id", "kind", "class")
+    similar = similar.join(name.select(F.col("id").alias("a"), "kind", F.col("class").alias("x")), "a").join(name.select(F.col("id").alias("b"), F.col("class").alias("y")), "b")
+    return similar.select("kind", F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), "similarity")
 
 
 def row_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -207,11 +227,14 @@ def row_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def links(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """kind, key, class, copies, n_links of every row: how many rows share its class, and how many classes are similar."""
-    both = pairs.select("kind", F.col("class_a").alias("class")).unionByName(pairs.select("kind", F.col("class_b").alias("class")))
-    degree = both.groupBy("kind", "class").agg(F.count("*").alias("n_links"))
-    copies = found.groupBy("kind", "class").agg(F.count("*").alias("copies"))
-    return found.select("kind", "key", "class").join(copies, ["kind", "class"]).join(degree, ["kind", "class"], "left").select("kind", "key", "class", "copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    """kind, key, class_key, copies, n_links, n_rows of every row: the least key of the rows with its multiset and their
+    number, how many other multisets are similar to it, and how many rows have those."""
+    copies = found.groupBy("kind", "class").agg(F.count("*").alias("copies"), F.min("key").alias("class_key"))
+    both = pairs.select("kind", F.col("class_a").alias("class"), F.col("class_b").alias("to")).unionByName(pairs.select("kind", F.col("class_b").alias("class"), F.col("class_a").alias("to")))
+    degree = both.join(copies.select("kind", F.col("class").alias("to"), F.col("copies").alias("n")), ["kind", "to"]).groupBy("kind", "class").agg(F.count("*").alias("n_links"), F.sum("n").alias("n_rows"))
+    zero = F.lit(0).cast("bigint")
+    rows = found.select("kind", "key", "class").join(copies, ["kind", "class"]).join(degree, ["kind", "class"], "left")
+    return rows.select("kind", "key", "class_key", "copies", F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_rows", zero).alias("n_rows"))
 
 
 def texts(log_event: DataFrame, action_item: DataFrame) -> DataFrame:

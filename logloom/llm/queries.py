@@ -115,6 +115,11 @@ LEAKS = """WITH i AS (SELECT item_id, list_transform(regexp_extract_all(item_tex
 def oracle_sql() -> dict[str, str]:
     return {
         "p6_found": NEAR,
+        "p6_links": NEAR.replace(" SELECT o.src_table", ", pr AS (SELECT o.src_table", 1) + """),
+ own AS (SELECT src_table, k, string_agg(w || ' ' || m, ',' ORDER BY w) AS bag FROM c GROUP BY ALL), cl AS (SELECT *, min(k) OVER (PARTITION BY src_table, bag) AS ck, count(*) OVER (PARTITION BY src_table, bag) AS copies FROM own),
+ li AS (SELECT DISTINCT p.src_table, x.ck AS a, y.ck AS b, y.copies AS n FROM (SELECT src_table, key_a AS i, key_b AS j FROM pr UNION ALL SELECT src_table, key_b, key_a FROM pr) p JOIN cl x ON x.src_table = p.src_table AND x.k = p.i JOIN cl y ON y.src_table = p.src_table AND y.k = p.j WHERE x.ck <> y.ck),
+ dg AS (SELECT src_table, a, count(*) AS n_links, sum(n)::BIGINT AS n_rows FROM li GROUP BY ALL)
+ SELECT cl.src_table, cl.k AS "key", cl.ck AS class_key, cl.copies, coalesce(dg.n_links, 0) AS n_links, coalesce(dg.n_rows, 0)::BIGINT AS n_rows FROM cl LEFT JOIN dg ON dg.src_table = cl.src_table AND dg.a = cl.ck""",
         "p8_kept": "SELECT lower(trim(source)) AS source, true AS share_kept, true AS repeats_kept FROM mix_target",
         "p7_found": LEAKS + " SELECT doc_id, item_id FROM f",
         "p7_places": LEAKS + """, ip AS (SELECT item_id, p, array_to_string(w[p : p + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i)),

@@ -68,10 +68,11 @@ def test_meeting_answers_equal_counting():
         xs = set(range(100))
         for _ in range(rng.randint(0, 20)):
             xs.symmetric_difference_update({rng.randint(0, 160)})
-        sets.append((f"c{i}", sorted(xs)))
-    seen = 0
+        sets.append((i, sorted(xs)))
+    seen = led = 0
     for e in range(0, 12):
-        m = near.Meeting([(c, xs, xs.index(e)) for c, xs in sets if e in xs], 0.8)
+        m = near.Meeting([(c, xs, len(xs), xs.index(e)) for c, xs in sets if e in xs], 0.8)
+        led += sum(m.leader(i, [(j, {}) for j in range(max(0, i - 8), i)]) is not None for i in range(len(m.sets)))
         got = {(i, j): c for i, j, c in m.answers()}
         for i in range(len(m.sets)):
             for j in range(i):
@@ -80,7 +81,7 @@ def test_meeting_answers_equal_counting():
                     assert got.pop((i, j)) == c
                     seen += 1
         assert all(c == len(m.own[i] & m.own[j]) for (i, j), c in got.items())
-    assert seen > 100
+    assert seen > 100 and led > 100
 
 
 def test_edges(spark):
@@ -91,4 +92,6 @@ def test_edges(spark):
     wide = spark.createDataFrame([("a", 1, text, 5), ("a", 2, text, 6)], SCHEMA + ", class int")
     assert got(wide) == {("a", 1, 2)}
     found = near.members(wide)
-    assert [r["copies"] for r in near.links(found, near.class_pairs(found)).collect()] == [2, 2]
+    assert [(r["class_key"], r["copies"], r["n_links"], r["n_rows"]) for r in near.links(found, near.class_pairs(found)).collect()] == [(1, 2, 0, 0)] * 2
+    found = near.members(spark.createDataFrame([("a", 1, text), ("a", 2, text), ("a", 3, text + " x")], SCHEMA))
+    assert sorted((r["key"], r["class_key"], r["copies"], r["n_links"], r["n_rows"]) for r in near.links(found, near.class_pairs(found)).collect()) == [(1, 1, 2, 1, 1), (2, 1, 2, 1, 1), (3, 3, 1, 1, 2)]
