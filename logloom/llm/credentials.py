@@ -2,11 +2,12 @@
 
 1. Every file is scanned with a grammar of places that hold credentials; each hit is a literal with its span.
 2. An index over the whole corpus counts the owners (hosts) of each literal. Literals of very many owners are
-   placeholders and are suppressed.
-3. Rare literals with the structure of a secret are confirmed. A confirmed literal is looked up by its longest run of letters
-   and digits, or by two short ones with what stands between, in an index of those of all files; each file that shares it is
-   scanned again, whole, with an automaton of the confirmed literals that it may hold. So no node needs all secrets, a secret
-   in a comment or under an unknown key is found as well, and no file that the automaton would accept is left out."""
+   placeholders and are suppressed, unless they have a form that no placeholder has (hashes, keys, long random texts).
+3. Rare literals with the structure of a secret are confirmed, those of several lines too. A confirmed literal is looked up in
+   an index of the runs of letters and digits of all files, by the one of its runs that stands in the fewest; each file that
+   shares it is scanned again, whole, with an automaton of the confirmed literals that it may hold. So no node needs all
+   secrets, a secret in a comment or under an unknown key is found as well, and no file that the automaton would accept is
+   left out."""
 
 from __future__ import annotations
 
@@ -23,7 +24,11 @@ from logloom.functions.session import stored
 #: Owners from which, with SHARE of all owners, a literal counts as a placeholder.
 OWNERS, SHARE = 12, 0.02
 #: Least length of a literal that is searched for outside the places of the grammar.
-LEAST = 8
+LEAST = 6
+#: What such a literal looks like - letters with digits, signs or changing case, or many digits - and what no
+#: placeholder looks like, however many owners share it: hashed and encrypted values, key blocks, tokens, long random texts.
+STRUCTURED = r"[A-Za-z].*[0-9!-/:-@\[-`{-~]|[0-9!-/:-@\[-`{-~].*[A-Za-z]|[0-9]{8}|[a-z][A-Z]|[A-Z]{2}[a-z]"
+UNMISTAKABLE = r"^\$\w{1,2}\$.{6}|^-----BEGIN|^eyJ[\w-]+\.|^[0-9a-fA-F]{16,}$|^(?=[^\s]{14,}$)(?=.*[0-9].*[0-9])(?=.*[a-z].*[a-z])(?=.*[A-Z].*[A-Z])"
 REDACTED = "<REDACTED>"
 
 #: A value, quoted or bare, and the places that hold one. Group 1, 2, ... of a place are values.
@@ -65,6 +70,12 @@ PLACES = (
     rf"(?i)^\s*(?:[!#;]|//|--).*\b(?:password|passphrase|passwd|pw|pwd|psk|secret|community|token|api key)(?: (?:was|is|now))?:? {BARE}\s*$",
     rf"(?i)^\s*(?:[!#;]|//|--).*\b(?:login|credentials?)\b.*[: ]\S+ / {BARE}\s*$",
 )
+#: For each place in order, texts of which a line must hold one; in lower case where the place doesn't mind the case.
+NEEDS = (
+    ("snmp-server community",), ("snmp-server host",), ("snmp-server user",), ("snmp community",), ("community",), ("community-entry",), ("enable ",), ("username",), ("password",), (" password",), ("-server ",), ("message-digest-key",), ("ntp authentication-key",), ("authentication-key",), ("key-string",), ("key ",),
+    ("-password",), ("isis password",), ("auth-password", "secret-key", "simple-password", "encrypted-password", "shared-secret"), ("authentication ",), ("pre-shared-key",), ("md5 ",), (" secret ",), ("pass", "secret", "token", "key", "credential", "pw"), ("auth",), ("://",), ("?", "&"), ("sshpass",), ("snmp",), ("curl",), ("--",),
+    ("pass", "pw", "psk", "secret", "community", "token", "api key"), ("login", "credential"),
+)
 #: Every place holds one of these; lines without any aren't searched for places.
 SIGN = r"(?i)pass|secret|token|key|communit|auth|snmp|curl|login|credential|pw|psk|://|[?&]sig"
 BLOCK_KEY = r"""(?i)^(\s*)["']?[\w.-]*(?:passw(?:or)?d|passphrase|secret|token|api[_-]?key|private[_-]?key)["']?:\s*[|>][+-]?\s*$"""
@@ -99,17 +110,17 @@ def phrase(line: str, a: int, b: int) -> bool:
     return opened and not JOINED.match(line, b + 1) and not TALK.search(line, 0, a - 1) and not line[a:b].rstrip().endswith((":", "?", ">"))
 
 
-def scan(text: str, places: list[re.Pattern], nothing: re.Pattern, begin: re.Pattern, end: re.Pattern, block: re.Pattern) -> list[tuple[int, int, int, int, str]]:
+def scan(text: str, places: list[tuple[re.Pattern, tuple[str, ...], bool]], nothing: re.Pattern, begin: re.Pattern, end: re.Pattern, block: re.Pattern) -> list[tuple[int, int, int, int, str]]:
     """(first line, last line, start, end, literal) of every place of a credential in a text; lines count from 1."""
     found, at, lines, sign = [], 0, text.split("\n"), re.compile(SIGN).search
-    starts = []
+    starts, keys = [], "-----BEGIN " in text
     for line in lines:
         starts.append(at)
         at += len(line) + 1
     n = 0
     while n < len(lines):
         line = lines[n].rstrip("\r")
-        if m := begin.search(line):
+        if keys and (m := begin.search(line)):
             last = n
             if not end.search(line, m.end()):
                 k = n + 1
@@ -124,7 +135,7 @@ def scan(text: str, places: list[re.Pattern], nothing: re.Pattern, begin: re.Pat
             found.append((n + 1, last + 1, starts[n] + m.start(), stop, text[starts[n] + m.start() : stop]))
             n = last + 1
             continue
-        if m := block.match(line):
+        if line.rstrip()[-1:] in (">", "|", "+", "-") and (m := block.match(line)):
             depth, k = len(m[1].expandtabs()), n + 1
             while k < len(lines) and lines[k].strip() and len(lines[k].expandtabs()) - len(lines[k].expandtabs().lstrip()) > depth:
                 k += 1
@@ -136,7 +147,10 @@ def scan(text: str, places: list[re.Pattern], nothing: re.Pattern, begin: re.Pat
                         found.append((n + 2, k, a, b, text[a:b]))
                     n = k
                     continue
-        for p in places if sign(line) else ():
+        low = line.lower()
+        for p, words, any_case in places if sign(line) else ():
+            if not any(w in (low if any_case else line) for w in words):
+                continue
             for m in p.finditer(line):
                 for g in range(1, p.groups + 1):
                     v = m[g]
@@ -157,7 +171,7 @@ def scan(text: str, places: list[re.Pattern], nothing: re.Pattern, begin: re.Pat
 
 
 def _patterns() -> tuple:
-    return [re.compile(p) for p in PLACES], re.compile(NOTHING), re.compile(BEGIN), re.compile(END), re.compile(BLOCK_KEY)
+    return [(re.compile(p), words, p.startswith("(?i)")) for p, words in zip(PLACES, NEEDS, strict=True)], re.compile(NOTHING), re.compile(BEGIN), re.compile(END), re.compile(BLOCK_KEY)
 
 
 def _scan_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,22 +212,24 @@ def find(files: DataFrame, owners: int = OWNERS, share: float = SHARE) -> DataFr
     hits = stored(files.mapInPandas(_scan_files, f"id {kind}, owner string, {HIT}"), "credential-hits")
     total = F.broadcast(files.agg(F.count_distinct("owner").alias("all_owners")))  # one row
     index = hits.groupBy("literal").agg(F.count_distinct("owner").alias("n_owners"))
-    index = index.crossJoin(total).select("literal", ((F.col("n_owners") > owners) & (F.col("n_owners") > share * F.col("all_owners"))).alias("placeholder"))
+    common = (F.col("n_owners") > owners) & (F.col("n_owners") > share * F.col("all_owners"))
+    index = index.crossJoin(total).select("literal", (common & ~F.col("literal").rlike(UNMISTAKABLE)).alias("placeholder"))
     kept = hits.join(index.where("not placeholder"), "literal").select("id", "first_line", "last_line", "start", "stop", "literal")
 
-    structured = (F.length("literal") >= LEAST) & ~F.col("literal").contains("\n") & F.col("literal").rlike(r"\d|[!-/:-@\[-`{-~]") & F.col("literal").rlike("[A-Za-z]|\\d{8}")
-    longest = lambda xs: F.array_max(F.transform(xs, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    confirmed = index.where("not placeholder").where((F.length("literal") >= LEAST) & F.col("literal").rlike(STRUCTURED)).select("literal")
     runs, pairs = (lambda c, p=p: F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in (RUNS, PAIRS))
-    long = lambda c: F.filter(runs(c), lambda p: F.length(p) >= RUN)
-    keys = [longest(long(F.col("literal"))), longest(pairs(F.col("literal"))), longest(runs(F.col("literal")))]
-    confirmed = index.where("not placeholder").where(structured).select("literal", F.coalesce(*keys).alias("key"), F.coalesce(*keys[:2]).isNull().alias("bare"))
-    confirmed = stored(confirmed, "confirmed")
-    text = F.col("text")
-    parts = [long(text), pairs(text)]
+    some = lambda c: F.concat(F.filter(runs(c), lambda p: F.length(p) >= RUN), pairs(c))
+    literal, text = F.col("literal"), F.col("text")
+    bare = F.size(some(literal)) == 0  # nothing but one short run: all short runs are needed then
+    confirmed = stored(confirmed.select("literal", F.explode(F.array_distinct(F.when(bare, runs(literal)).otherwise(some(literal)))).alias("key"), bare.alias("bare")), "confirmed")
+    keys = some(text)
     if not confirmed.where("bare").isEmpty():
-        parts.append(F.filter(runs(text), lambda p: F.length(p) < RUN))
-    held = files.select("id", F.explode(F.array_distinct(F.concat(*parts))).alias("key"))
-    wanted = held.join(confirmed, "key").groupBy("id").agg(F.collect_set("literal").alias("literals"))
+        keys = F.concat(keys, F.filter(runs(text), lambda p: F.length(p) < RUN))
+    held = files.select("id", F.explode(F.array_distinct(keys)).alias("key"))
+    held = stored(held.join(confirmed.select("key").distinct(), "key", "left_semi"), "held")
+    rarity = held.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = confirmed.join(rarity, "key").groupBy("literal").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+    wanted = held.join(rarest, "key").groupBy("id").agg(F.collect_set("literal").alias("literals"))
     again = files.select("id", "text").dropDuplicates(["id"]).join(wanted, "id").mapInPandas(_rescan_files, f"id {kind}, {HIT}")
     return kept.unionByName(again).distinct()
 

@@ -61,10 +61,27 @@ def test_confirmed_literals_at_any_boundary_and_of_short_runs(spark):
     assert cases(spark, places + elsewhere + none) == [(i, 1, 1) for i, _, _ in places] + sorted((i, 2, 2) for i, _, _ in elsewhere)
 
 
+def test_every_file_is_scanned_again(spark):
+    """Embedded in other words, short, letters only, over several lines: a confirmed literal is found wherever it stands."""
+    key = "-----BEGIN RSA PRIVATE KEY-----\nAbCdEf123456\nxyzXYZ789012\n-----END RSA PRIVATE KEY-----"
+    folded = "x:\n  bind_password: >-\n    saffronFalcon\n    more9\n  other: 1\n"
+    rows = [(1, "a", "password Zq7vT-9xLm2RkWp4\n"), (2, "b", "description legacy_Zq7vT-9xLm2RkWp4_x\n"), (3, "c", "copy tftp Zq7vT-9xLm2RkWp4.cfg\n"), (4, "d", "password a1,b2,c3,d4,e5\n"), (5, "e", "  # see 'a1,b2,c3,d4,e5'\n"), (6, "f", "token = 'FPwcwVZuktd'\n"), (7, "g", "was FPwcwVZuktd once\n"), (8, "h", folded), (9, "i", "old:\nsaffronFalcon\n    more9\n"), (10, "j", "password Ab3$xy\n"), (11, "k", "note Ab3$xy\n"), (12, "l", key)]
+    assert cases(spark, rows) == [(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1), (5, 1, 1), (6, 1, 1), (7, 1, 1), (8, 3, 4), (9, 2, 3), (10, 1, 1), (11, 1, 1), (12, 1, 4)]
+
+
+def test_texts_of_places(spark):
+    """The texts that a line must hold leave none of the places out."""
+    for pattern, words, any_case in credentials._patterns()[0]:
+        for line in YES:
+            assert not pattern.search(line) or any(w in (line.lower() if any_case else line) for w in words)
+
+
 def test_literals_of_many_owners_are_placeholders(spark):
     rows = [(i, f"h{i}", "password sitewide-default\n") for i in range(20)] + [(99, "x", "password own-Secret-1\n")]
     assert cases(spark, rows) == [(99, 1, 1)]
     assert len(cases(spark, [(i, "one", r[2]) for i, r in enumerate(rows)])) == 21
+    shared = [(i, f"h{i}", f"{x}\n") for i, x in enumerate(["snmp-server community Zq7vT9xLm2RkWp ro", "enable secret 5 $1$TzSyNmt4$xJkzb5VmxBWxnQDBCbiD2m"] * 20)]
+    assert len(cases(spark, shared)) == 40
 
 
 def test_redaction_leaves_the_rest(spark):
