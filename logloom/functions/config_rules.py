@@ -165,7 +165,25 @@ ENDPOINTS = (
     ("tacacs", r"tacacs-server\s+(?:host\s+)?(\S+)"),
     ("dns", r"(?:name-server|ip\s+name-server)\s+(\S+)"),
 )
-NODE_WORDS = (("bgp", ("router bgp", "protocols bgp", "bgp {")), ("ospf", ("router ospf", "protocols ospf", "ip ospf")), ("evpn", ("evpn",)), ("vxlan", ("vxlan", "vtep")))
+#: Words of which a text of a device holds one, by what the device then runs; what a description of an uplink holds.
+NODE_WORDS = (("bgp", ("router bgp", "protocols bgp", "neighbor ")), ("ospf", ("router ospf", "protocols ospf")), ("evpn", ("evpn", " l2vpn evpn")), ("vxlan", ("vxlan", "vni ")))
+UPLINK_DESCRIPTION = r"""(?i)(?:description\s+|description:\s+|description\s+")([^"\n;]+?)["\n;]"""
+UPLINK_WORDS = ("isp", "telia", "arelion", "lumen", "cogent", "ntt", "gtt", "leaseweb", "level3", "centurylink", "tata", "verizon", "att", "deutsche telekom", "vodafone", "optus", "telstra", "tpg")
+MORE_UPLINK_WORDS = ("swisscom", "colt", "comcast", "orange", "bt", "kpn", "akamai", "google", "amazon", "microsoft")
+HOST_ROLE = r"^[a-z0-9][a-z0-9-]*?-(fw|rt|sw|edr|acs)-\d+[a-z]?$"
+ROLES = (("fw", "firewall"), ("rt", "router"), ("sw", "switch"), ("edr", "edr"), ("acs", "storage"))
+GATEWAY_FUNCTIONS, GATEWAY_PARTS = ("firewall", "router", "gateway"), ("fw", "rt", "gw")
+GUESSES = (("junos", ("set system", "junos", "interfaces {")), ("eos", ("! command: show running-config", "eos-4.", "switchport mode")), ("frr", ("frr version", "vtysh")))
+VTEP_SOURCE = (r"(?i)\bvxlan\s+source-interface\s+(\S+)", r"(?i)\bvtep-source-interface\s+(\S+)")
+VTEP_LOOPBACKS = ("lo", "loopback0", "loopback1", "system0", "lo0")
+ADVERTISED = r"(?i)\badvertise-all-vni\b|(?-i:afi-safi evpn)"
+BODY_VNI = r"(?i)\bvni\s+(\d+)\b"
+VRF_BLOCK = r"(?m)^vrf\s+(\S+)\s*\n((?:\s+[^\n]*\n)+?)exit-vrf"
+LOOPBACK_JUNOS = rf"lo0\s+\{{[^}}]*?address\s+({IP}/\d{{1,2}})"
+LOOPBACK_LINE = rf"(?i)interface\s+(?:Loopback|lo)\d+\s*\n\s*ip\s+address\s+({IP}/\d{{1,2}})"
+BGP_PEER_LINE = r"neighbor\s+(\S+)\s+remote-as\s+(\d+)"
+ZONE = r"security-zone\s+(\S+)"
+TUNNEL = r"(st\d+\.\d+)\s*(\{[\s\S]{0,800}?\})"
 SECTIONS = (
     ("bgp", r"\bbgp\b"),
     ("ospf", r"\bospf\b"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import config_rules as R
@@ -44,29 +44,61 @@ def distinct_valid(xs: Column) -> Column:
     return F.array_distinct(F.filter(xs, valid_ip))
 
 
-def addresses(configs: DataFrame) -> DataFrame:
-    """host, pos, cidr, ip_num, net_num, length of every distinct valid interface address; of braced blocks the first of each interface."""
+def cidrs() -> Column:
+    """Every distinct valid interface address of the text, as written; of braced blocks the first of each interface."""
     junos = F.concat(all_of(R.JUNOS_ADDRESS), all_of(R.JUNOS_BLOCK_ADDRESS))
     lines = all_of(R.LINE_ADDRESS)
     xs = F.when(F.col("platform").startswith("junos"), junos).when(F.col("platform").isin("eos", "arista", "frr", "ios"), lines).otherwise(F.concat(all_of(R.JUNOS_ADDRESS), lines))
     held = F.filter(F.transform(braced_blocks(), lambda x: F.struct(x["name"].alias("name"), F.regexp_extract(x["body"], R.BRACED_ADDRESS, 1).alias("ip"))), lambda x: x["ip"] != "")
     own = F.filter(held, lambda x, i: F.array_position(F.transform(held, lambda y: y["name"]), x["name"]) == i + 1)["ip"]
-    rows = configs.select("host", F.posexplode(distinct_valid(F.concat(xs, own))).alias("pos", "cidr"))
-    rows = rows.withColumns({"ip_num": ip_number(F.substring_index("cidr", "/", 1)), "length": F.substring_index("cidr", "/", -1).cast("int")})
-    size = F.pow(F.lit(2), 32 - F.col("length")).cast("bigint")
-    return rows.select("host", "pos", "cidr", "ip_num", (F.col("ip_num") - F.col("ip_num") % size).alias("net_num"), "length")
+    return distinct_valid(F.concat(xs, own))
+
+
+def network(cidr: Column) -> Column:
+    """cidr, ip_num, net_num, length of an address."""
+    n, length = ip_number(F.substring_index(cidr, "/", 1)), F.substring_index(cidr, "/", -1).cast("int")
+    return F.struct(cidr.alias("cidr"), n.alias("ip_num"), (n - n % F.pow(F.lit(2), 32 - length).cast("bigint")).alias("net_num"), length.alias("length"))
+
+
+def addresses(configs: DataFrame) -> DataFrame:
+    """host, pos, cidr, ip_num, net_num, length of every address of cidrs(); site_id too where configs has it."""
+    nets = F.col("nets") if "nets" in configs.columns else F.transform(cidrs(), network)
+    return configs.select("host", *_site(configs), F.posexplode(nets).alias("pos", "n")).select("host", *_site(configs), "pos", "n.*")
+
+
+def _site(configs: DataFrame) -> list[str]:
+    return ["site_id"] if "site_id" in configs.columns else []
+
+
+def peer_ips() -> Column:
+    return distinct_valid(all_of(R.BGP_PEER))
+
+
+def peer_asns() -> Column:
+    """(ip, asn) of neighbours with a configured system, by first appearance; the last assignment counts."""
+    pairs = F.filter(_zipped(R.BGP_PEER_AS, "ip", "asn"), lambda x: valid_ip(x["ip"]))
+    return F.transform(F.array_distinct(F.transform(pairs, lambda x: x["ip"])), lambda i: F.struct(i, F.element_at(F.filter(pairs, lambda x: x["ip"] == i), -1)["asn"])).cast("array<struct<ip: string, asn: bigint>>")
 
 
 def bgp_peers(configs: DataFrame) -> DataFrame:
     """host, ip of every distinct neighbour, asn where one is configured; the last assignment counts."""
-    peers = configs.select("host", F.explode(distinct_valid(all_of(R.BGP_PEER))).alias("ip"))
-    named = configs.select("host", F.posexplode(F.arrays_zip(all_of(R.BGP_PEER_AS, 1).alias("ip"), all_of(R.BGP_PEER_AS, 2).alias("asn"))).alias("pos", "p"))
-    named = named.groupBy("host", F.col("p.ip").alias("ip")).agg(F.max_by("p.asn", "pos").cast("bigint").alias("asn"))
-    return peers.join(named, ["host", "ip"], "left")
+    stored_ = "peers" in configs.columns
+    ips, asns = (F.col("peers"), F.col("peer_asns")) if stored_ else (peer_ips(), peer_asns())
+    rows = configs.select("host", *_site(configs), asns.alias("asns"), F.explode(ips).alias("ip"))
+    return rows.select("host", *_site(configs), "ip", F.try_element_at(F.filter("asns", lambda x: x["ip"] == F.col("ip")), F.lit(1))["asn"].alias("asn"))
+
+
+def peer_blocks(configs: DataFrame) -> DataFrame:
+    """host, pos, ip, remote_as of neighbours in braced blocks, then in lines; the first of an address counts."""
+    both = F.concat(_zipped(R.BGP_PEER_BLOCK, "ip", "remote_as"), _zipped(R.BGP_PEER_LINE, "ip", "remote_as"))
+    rows = configs.select("host", F.posexplode(both).alias("pos", "p")).select("host", "pos", "p.*")
+    return rows.groupBy("host", "ip").agg(F.min("pos").alias("pos"), F.min_by("remote_as", "pos").alias("remote_as"))
 
 
 def descriptions(configs: DataFrame) -> DataFrame:
-    return configs.select("host", F.posexplode(all_of(R.DESCRIPTION)).alias("pos", "d")).select("host", "pos", strip(F.col("d")).alias("description"))
+    """host, pos, description of every description; site_id too where configs has it."""
+    own = F.col("described") if "described" in configs.columns else all_of(R.DESCRIPTION)
+    return configs.select("host", *_site(configs), F.posexplode(own).alias("pos", "d")).select("host", *_site(configs), "pos", strip(F.col("d")).alias("description"))
 
 
 def speed(number: Column, unit: Column) -> Column:
@@ -84,7 +116,7 @@ def speed_of_name(name: Column) -> Column:
 
 def _zipped(pattern: str, *names: str) -> Column:
     """Groups 1, 2, ... of every match as structs of these names."""
-    return F.arrays_zip(*[all_of(pattern, k + 1).alias(n) for k, n in enumerate(names)])
+    return F.arrays_zip(*[all_of(pattern, k + 1) for k in range(len(names))]).cast(f"array<struct<{', '.join(f'{n}: string' for n in names)}>>")
 
 
 def braced_blocks() -> Column:
@@ -93,7 +125,7 @@ def braced_blocks() -> Column:
 
 
 def interfaces(configs: DataFrame, braced: bool = True) -> DataFrame:
-    """host, name, ip, description, speed and the OSPF columns of interfaces: of set lines (junos), then indented blocks, then braced ones.
+    """host, name, pos, ip, description, speed and the OSPF columns of interfaces: of set lines (junos), then indented blocks, then braced ones.
 
     The first that has a value counts, of the OSPF columns, which only braced blocks have, the last; they are null where none has."""
     none = F.lit("")
@@ -117,17 +149,85 @@ def interfaces(configs: DataFrame, braced: bool = True) -> DataFrame:
         v = F.regexp_extract("body", pattern, 1)
         return F.max_by(v, F.when(v != "", F.col("pos"))).cast(kind).alias(f"ospf_{name}")
 
-    out = rows.groupBy("host", "name").agg(first("ip"), first("description"), first("speed"), *[last(*x) for x in R.OSPF])
+    out = rows.groupBy("host", "name").agg(F.min("pos").alias("pos"), first("ip"), first("description"), first("speed"), *[last(*x) for x in R.OSPF])
     return out.withColumn("speed", F.when(F.col("speed") != "", F.col("speed")).otherwise(speed_of_name(F.col("name"))))
 
 
-def families(configs: DataFrame) -> DataFrame:
-    """host, families ARRAY: address families in their full names, in order; EVPN where it is signalled."""
+def family_names() -> Column:
+    """Address families in their full names, in order; EVPN where it is signalled."""
     names = F.create_map(*[F.lit(x) for p in R.FAMILY_NAMES for x in p])
     found = F.array_distinct(F.transform(F.transform(all_of(R.ADDRESS_FAMILY), lambda a: F.regexp_replace(F.lower(a), r"\s+", "-")), lambda a: F.coalesce(F.try_element_at(names, a), a)))
-    rows = configs.select("host", found.alias("f"), F.col("text").rlike(R.EVPN_SIGNALLED).alias("signalled"))
-    evpn = F.col("signalled") | F.exists("f", lambda a: F.contains(a, F.lit("evpn")))
-    return rows.select("host", F.when(evpn, F.array_distinct(F.array_append("f", F.lit("l2vpn-evpn")))).otherwise(F.col("f")).alias("families"))
+    evpn = F.col("text").rlike(R.EVPN_SIGNALLED) | F.exists(found, lambda a: F.contains(a, F.lit("evpn")))
+    return F.when(evpn, F.array_distinct(F.array_append(found, F.lit("l2vpn-evpn")))).otherwise(found)
+
+
+def families(configs: DataFrame) -> DataFrame:
+    """host, families ARRAY of family_names()."""
+    return configs.select("host", family_names().alias("families"))
+
+
+def vnis() -> Column:
+    """(l2 ARRAY, l3 ARRAY) of network ids by first appearance: layer 3 from 50000 on, and those of routing instances of frr."""
+    number = lambda xs: F.transform(xs, lambda x: x.cast("bigint"))
+    frr = F.col("platform") == "frr"
+    inner = lambda bodies: number(F.flatten(F.transform(bodies, lambda x: F.regexp_extract_all(x["body"], F.lit(R.BODY_VNI), F.lit(1)))))
+    blocks = F.filter(_zipped(R.INTERFACE_BLOCK, "name", "body"), lambda x: F.lower(x["name"]).startswith("vxlan") & frr)
+    plain = F.array_distinct(F.concat(*[number(all_of(p)) for p in R.VNI], inner(blocks)))
+    bound = F.filter(inner(F.filter(_zipped(R.VRF_BLOCK, "name", "body"), lambda _: frr)), lambda v: ~F.array_contains(plain, v))
+    return F.struct(F.filter(plain, lambda v: v < 50_000).alias("l2"), F.array_distinct(F.concat(F.filter(plain, lambda v: v >= 50_000), bound)).alias("l3"))
+
+
+def has_word(text: Column, words: tuple[str, ...]) -> Column:
+    low = F.lower(text)
+    out = F.contains(low, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(low, F.lit(w))
+    return out
+
+
+def role_of(host: Column) -> Column:
+    """firewall, router, ... of a name of the form site-function-number, else unknown."""
+    known = F.create_map(*[F.lit(x) for p in R.ROLES for x in p])
+    return F.coalesce(F.try_element_at(known, F.regexp_extract(F.lower(host), R.HOST_ROLE, 1)), F.lit("unknown"))
+
+
+def platform_guess(text: Column) -> Column:
+    out, head = None, F.substring(text, 1, 5000)
+    for name, words in R.GUESSES:
+        out = F.when(has_word(head, words), name) if out is None else out.when(has_word(head, words), name)
+    return out.otherwise("unknown")
+
+
+def nodes(configs: DataFrame) -> DataFrame:
+    """One row per host with all that links are inferred from and described by; store it once, then join.
+
+    host, site_id, platform, function, cluster, nets, peers, peer_asns, mlag, described, families, local_asn, router_id,
+    vtep_source, vtep_ip, l2_vnis, l3_vnis, has_bgp, has_ospf, has_evpn, has_vxlan, isp_uplink, ifs (the interfaces in order).
+    The router id is that of OSPF, else the first address of length 32; the address of a tunnel end is that of its source
+    interface, else, where EVPN is advertised, of the first loopback that has one."""
+    words = [has_word(F.col("text"), w).alias(f"has_{n}") for n, w in R.NODE_WORDS]
+    uplink = F.exists(all_of(R.UPLINK_DESCRIPTION), lambda d: has_word(d, R.UPLINK_WORDS))
+    own = configs.select(
+        "host", "site_id", "platform", "function", F.col("text").rlike(dict(R.FLAGS)["cluster"]).alias("cluster"), F.transform(cidrs(), network).alias("nets"), peer_ips().alias("peers"), peer_asns().alias("peer_asns"), distinct_valid(all_of(R.MLAG_PEER)).alias("mlag"), all_of(R.DESCRIPTION).alias("described"),
+        family_names().alias("families"), F.nullif(first_of(*R.LOCAL_AS), F.lit("")).cast("bigint").alias("local_asn"), first_of(*R.ROUTER_ID).alias("ospf_id"), first_of(*R.VTEP_SOURCE).alias("source"), F.col("text").rlike(R.ADVERTISED).alias("advertised"), vnis().alias("v"), *words, uplink.alias("isp_uplink"),
+    )
+    rows = interfaces(configs).withColumn("ip_num", ip_number(F.substring_index("ip", "/", 1)))
+    entry = ["pos", "name", "ip", "ip_num", "description", "speed", *[c for c in rows.columns if c.startswith("ospf_")]]
+    held = rows.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("ifs"))
+    both = own.join(held, "host", "left").withColumn("ifs", F.coalesce("ifs", F.array().cast(held.schema["ifs"].dataType)))
+    first = lambda xs: F.try_element_at(xs, F.lit(1))
+    alone = F.substring_index(first(F.filter("nets", lambda n: n["length"] == 32))["cidr"], "/", 1)
+    named = first(F.filter("ifs", lambda i: F.lower(i["name"]) == F.lower("source")))
+    called = lambda c: F.slice(F.filter("ifs", lambda i: F.lower(i["name"]) == c), 1, 1)
+    loops = F.flatten(F.array(*map(called, R.VTEP_LOOPBACKS)))
+    loop = first(F.filter(loops, lambda i: i["ip"] != ""))
+    plain = lambda i: F.nullif(F.substring_index(i["ip"], "/", 1), F.lit(""))
+    direct = F.when(F.col("source") != "", plain(named))
+    both = both.withColumns({"direct": direct, "implied": F.when(direct.isNull() & F.col("advertised"), loop)})
+    return both.select(
+        "host", "site_id", "platform", "function", "cluster", "nets", "peers", "peer_asns", "mlag", "described", "families", "local_asn", F.coalesce(F.nullif("ospf_id", F.lit("")), alone, F.lit("")).alias("router_id"), F.coalesce(F.nullif("source", F.lit("")), F.col("implied.name"), F.lit("")).alias("vtep_source"),
+        F.coalesce("direct", plain(F.col("implied")), F.lit("")).alias("vtep_ip"), F.col("v.l2").alias("l2_vnis"), F.col("v.l3").alias("l3_vnis"), *[f"has_{n}" for n, _ in R.NODE_WORDS], "isp_uplink", "ifs",
+    )
 
 
 def wide(configs: DataFrame) -> DataFrame:
@@ -138,13 +238,16 @@ def wide(configs: DataFrame) -> DataFrame:
 
 
 def named_values(configs: DataFrame) -> DataFrame:
-    """host, kind, value of VNIs (layer 3 from 50000 on), VRFs and OSPF areas, distinct."""
-    vni = configs.select("host", F.explode(F.array_distinct(F.concat(*[all_of(p) for p in R.VNI]))).alias("value"))
-    vni = vni.select("host", F.when(F.col("value").cast("bigint") >= 50_000, "l3_vni").otherwise("l2_vni").alias("kind"), "value")
+    """host, kind, value of network ids (vnis()), VRFs and OSPF areas, distinct."""
+    ids = configs.select("host", vnis().alias("v"))
+    ids = ids.select("host", F.lit("l2_vni").alias("kind"), F.explode("v.l2").alias("value")).unionByName(ids.select("host", F.lit("l3_vni").alias("kind"), F.explode("v.l3").alias("value")))
+    ids = ids.withColumn("value", F.col("value").cast("string"))
     vrf = configs.select("host", F.explode(F.concat(*[all_of(p) for p in R.VRF])).alias("value"))
     vrf = vrf.select("host", F.lit("vrf").alias("kind"), F.regexp_replace("value", r"[{\s]+$", "").alias("value")).where((F.col("value") != "") & ~F.lower("value").isin(*R.VRF_SKIP))
     area = configs.select("host", F.lit("area").alias("kind"), F.explode(all_of(R.OSPF_AREA)).alias("value"))
-    return vni.unionByName(vrf).unionByName(area).distinct()
+    loops = configs.select("host", F.lit("loopback").alias("kind"), F.explode(F.when(F.col("platform").startswith("jun"), all_of(R.LOOPBACK_JUNOS)).when(F.col("platform").isin("eos", "frr", "ios"), all_of(R.LOOPBACK_LINE)).otherwise(F.array().cast("array<string>"))).alias("value"))
+    zone = configs.select("host", F.lit("zone").alias("kind"), F.explode(all_of(R.ZONE)).alias("value"))
+    return ids.unionByName(vrf).unionByName(area).unionByName(loops).unionByName(zone).distinct()
 
 
 def endpoints(configs: DataFrame, limit: int = 8) -> DataFrame:
@@ -170,3 +273,31 @@ def lifecycle(profile: DataFrame) -> DataFrame:
     eos = F.col("platform").isin("eos", "arista")
     value = lambda i: F.when(F.col("version") == "", R.NO_VERSION if i == 3 else "").when(eos, pick(True, i)).otherwise(pick(False, i))
     return profile.select("host", "platform", "version", value(1).alias("released"), value(2).alias("ends"), value(3).alias("status"))
+
+
+def is_risky(status: Column) -> Column:
+    """Whether a life cycle's status says that support has ended or is about to."""
+    return F.contains(status, F.lit("🔴")) | F.contains(status, F.lit("🟠"))
+
+
+def is_gateway(host_name: Column, function: Column) -> Column:
+    """Whether a device leads out of its site: by its function, else by a part of its name."""
+    parts = F.split(F.lower(host_name), "[-_.]")
+    return F.lower(function).isin(*R.GATEWAY_FUNCTIONS) | F.arrays_overlap(parts, F.array(*map(F.lit, R.GATEWAY_PARTS)))
+
+
+def role_descriptions(configs: DataFrame) -> DataFrame:
+    """host, site_id, role, description: the place of a device among those of its role in its site, by name; of switches what they run."""
+    told = F.exists(all_of(R.DESCRIPTION), lambda d: has_word(d, R.UPLINK_WORDS + R.MORE_UPLINK_WORDS))
+    role = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in R.ROLES for x in p]), F.get(F.split(F.lower("host"), "-"), F.lit(1))), F.lit("unknown"))
+    peers = (F.regexp_count("text", F.lit(R.BGP_PEER_BLOCK)) > 0) | (F.regexp_count("text", F.lit(R.BGP_PEER_LINE)) > 0)
+    flags, counts = dict(R.FLAGS), dict(R.COUNTS)
+    rows = configs.select("host", "site_id", role.alias("role"), told.alias("told"), peers.alias("peers"), F.col("text").rlike(flags["cluster"]).alias("cluster"), (F.col("text").rlike(flags["evpn"]) | (F.regexp_count("text", F.lit(counts["vnis"])) > 0)).alias("fabric"))
+    n = F.row_number().over(Window.partitionBy("site_id", "role").orderBy("host"))
+    rows = rows.withColumn("n", n)
+    number = F.col("n").cast("string")
+    firewall = F.concat(F.when(F.col("n") == 1, "Primary Firewall").when(F.col("n") == 2, "Secondary Firewall").otherwise(F.concat(F.lit("Firewall #"), number)), F.when(F.col("cluster"), " (HA chassis-cluster)").otherwise(""))
+    router = F.when(F.col("n") == 1, "Primary Edge Router").when(F.col("n") == 2, "Secondary Edge Router").otherwise(F.concat(F.lit("Standby Router #"), number))
+    switch = F.when(F.col("peers") & F.col("told"), "ISP-edge / Core switch").when(F.col("fabric"), "EVPN-VXLAN fabric leaf").when(F.col("peers"), "Core switch").otherwise("Access / distribution switch")
+    what = F.when(F.col("role") == "firewall", firewall).when(F.col("role") == "router", router).when(F.col("role") == "switch", switch).when(F.col("role") == "storage", "Storage / ACS device").when(F.col("role") == "edr", "EDR / telemetry cluster").otherwise("Unclassified network device")
+    return rows.select("host", "site_id", "role", what.alias("description"))

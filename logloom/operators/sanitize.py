@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from logloom.functions import config_rules as R
 
 SALT = "logloom"
+#: Names in configurations - rule, pattern and what replaces it; a name in group 2 becomes a token.
+NAMES = (
+    ("user-block", r"(?i)\b(user)\s+([a-z][\w.\-]{1,40})(\s*\{)", "token"),
+    ("username", r"(?i)\b(username)\s+([a-z][\w.\-]{1,40})(\b)", "token"),
+    ("key-comment", r"(<REDACTED-SSH-KEY>)[ \t]+[^\n\"';]*", "$1"),
+    ("full-name", r"(?i)\b(full-name)\s+\"[^\"]+\"", '$1 "<REDACTED-NAME>"'),
+)
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 
 
@@ -32,6 +39,35 @@ def sanitize(texts: DataFrame, rules: tuple = R.SECRETS) -> DataFrame:
     return out.select("id", F.col(f"t{len(rules)}").alias("text"), total.cast("bigint").alias("n"), by_rule.alias("by_rule"))
 
 
+def mask_names(texts: DataFrame) -> DataFrame:
+    """id, text, n, by_rule MAP of texts(id, text): users as tokens equal for equal names whatever the case, comments of keys
+    and full names removed. Meant for what sanitize() left; a null text stays null."""
+    out = texts.select("id", F.col("text").alias("t0"))
+    for i, (_, pattern, replacement) in enumerate(NAMES):
+        n = F.regexp_count(f"t{i}", F.lit(pattern))
+        if replacement == "token":
+            found = F.arrays_zip(*[F.regexp_extract_all(f"t{i}", F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in (1, 2, 3)])
+            put = F.transform(found, lambda x: F.concat(x["g1"], F.lit(" user-"), token(F.lower(x["g2"]), "username"), x["g3"]))
+            pieces = F.zip_with(F.split(f"t{i}", pattern, -1), F.array_append(put, F.lit("")), lambda p, a: F.concat(p, F.coalesce(a, F.lit(""))))
+            new = F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(F.col(f"t{i}"))
+        else:
+            new = F.regexp_replace(f"t{i}", pattern, replacement)
+        out = out.withColumns({f"n{i}": n, f"t{i + 1}": new})
+    counts = [F.coalesce(F.col(f"n{i}"), F.lit(0)) for i in range(len(NAMES))]
+    by_rule = F.map_filter(F.create_map(*[x for i, r in enumerate(NAMES) for x in (F.lit(r[0]), counts[i])]), lambda _, v: v > 0)
+    return out.select("id", F.col(f"t{len(NAMES)}").alias("text"), (counts[0] + counts[1] + counts[2] + counts[3]).cast("bigint").alias("n"), by_rule.alias("by_rule"))
+
+
+def sanitize_all(texts: DataFrame, mask_pii: bool = False) -> DataFrame:
+    """id, text, n of texts(id, text): secrets out, and with mask_pii names and public addresses too."""
+    first = sanitize(texts).select("id", "text", "n")
+    if not mask_pii:
+        return first
+    # The counts of the steps before travel with the id.
+    counted = mask_public(mask_names(first.withColumn("id", F.struct("id", "n"))).select(F.struct(F.col("id.id").alias("id"), (F.col("id.n") + F.col("n")).alias("n")).alias("id"), "text"))
+    return counted.select(F.col("id.id").alias("id"), "text", (F.col("id.n") + F.col("n")).alias("n"))
+
+
 def ip_number(c: Column) -> Column:
     """An IPv4 address as a number; null for octets over 255 or with leading zeros."""
     o = F.split(c, r"\.")

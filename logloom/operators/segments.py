@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import config_rules as R
+from logloom.operators import facts
 from logloom.operators.events import strip
 from logloom.operators.facts import all_of
 from logloom.operators.sanitize import ip_number, is_public
@@ -16,11 +17,16 @@ VLAN_SET = r"(?i)set\s+vlans\s+(\S+)\s+vlan-id\s+(\d{1,4})"
 VLAN_LINE = r"(?m)^\s*vlan\s+(\d{1,4})[ \t]*\n(?:[ \t]+name\s+(\S+))?"
 SUBNET_BLOCK = r"irb\s*\{[^}]*?unit\s+(\d{1,4})[^}]*?address\s+(\d{1,3}(?:\.\d{1,3}){3}/\d{1,2})"
 SUBNET_LINE = r"(?m)interface\s+Vlan(\d{1,4})\s*\n(?:\s+\S[^\n]*\n)*?\s+ip\s+address\s+(\d{1,3}(?:\.\d{1,3}){3}/\d{1,2})"
+TUNNEL = R.TUNNEL
 #: Set lines of Junos (interface, unit, address; interface, description).
 SET_ADDRESS = rf"set\s+interfaces\s+(\S+)\s+unit\s+(\d+)\s+family\s+inet\s+address\s+({R.IP}(?:/\d{{1,2}})?)"
 SET_DESCRIPTION = r"""set\s+interfaces\s+(\S+)\s+(?:unit\s+\d+\s+)?description\s+"?([^";\n]+)"""
 #: Words in VLAN names, in order, and the kind each stands for; words of carriers in descriptions.
 VLAN_KINDS = (("mgmt", "Management"), ("management", "Management"), ("ipmi", "IPMI/BMC"), ("bmc", "IPMI/BMC"), ("pxe", "PXE/Boot"), ("boot", "PXE/Boot"), ("storage", "Storage"), ("stor", "Storage"), ("dr", "DR/Backup"), ("backup", "DR/Backup"), ("advpn", "ADVPN"), ("vpn", "ADVPN"), ("prod", "Production/Access"), ("access", "Production/Access"), ("wan", "WAN/External"), ("transit", "WAN/External"), ("core", "Network/Transit"), ("fabric", "Network/Transit"), ("infra", "Infrastructure"))
+#: Networks 10.x.y.0 by x and the range of y, then numbers of VLANs, and the kind each stands for.
+SUBNET_KINDS = ((1, 0, 255, "Management"), (245, 200, 206, "Storage"), (245, 207, 207, "IPMI/BMC"), (245, 208, 209, "PXE/Boot"), (92, 0, 255, "DR/Backup"), (216, 0, 255, "DR/Backup"), (218, 0, 255, "DR/Backup"), (2, 0, 255, "Network/Transit"), (253, 0, 255, "Production/Access"))
+NUMBER_KINDS = (((14, 15), "Management"), ((22, 23), "Storage"), ((24,), "DR/Backup"), ((28, 100), "IPMI/BMC"), ((30,), "PXE/Boot"), ((20, 21, 63, 64), "Production/Access"), ((206, 216, 226), "ADVPN"), ((10, 19, 33, 34, 66, 115), "Network/Transit"))
+LAST_NUMBERS, LAST_KIND = 4000, "Infrastructure"
 CARRIERS = (("telia", "Telia"), ("arelion", "Arelion"), ("lumen", "Lumen"), ("cogent", "Cogent"), ("ntt", "NTT"), ("gtt", "GTT"), ("leaseweb", "Leaseweb"), ("level3", "Level3"), ("centurylink", "CenturyLink"), ("verizon", "Verizon"), ("att", "AT&T"), ("deutsche telekom", "Deutsche Telekom"), ("vodafone", "Vodafone"), ("optus", "Optus"), ("telstra", "Telstra"), ("tpg", "TPG"), ("swisscom", "Swisscom"), ("colt", "Colt"), ("comcast", "Comcast"), ("orange", "Orange"), ("bt", "BT"), ("kpn", "KPN"), ("tata", "Tata"), ("akamai", "Akamai"))
 
 
@@ -49,13 +55,37 @@ def vlans(configs: DataFrame) -> DataFrame:
     return both.groupBy("host", "vlan_id").agg(F.coalesce(F.min_by(name, F.when(name.isNotNull(), F.col("pos"))), F.lit("")).alias("name"), F.array_distinct(F.transform(F.array_sort(F.collect_list(net)), lambda x: x["v"])).alias("subnets"))
 
 
+def subnet_kind(cidr: Column) -> Column:
+    """The kind a network stands for, null for none."""
+    octets = F.split(F.substring_index(cidr, "/", 1), r"\.")
+    o = [F.get(octets, F.lit(i)).try_cast("int") for i in range(3)]
+    out = None
+    for second, low, high, kind in SUBNET_KINDS:
+        hit = (o[0] == 10) & (o[1] == second) & o[2].between(low, high)
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out
+
+
+def number_kind(vlan_id: Column) -> Column:
+    out = None
+    for numbers, kind in NUMBER_KINDS:
+        out = F.when(vlan_id.isin(*numbers), kind) if out is None else out.when(vlan_id.isin(*numbers), kind)
+    return out.when(vlan_id >= LAST_NUMBERS, LAST_KIND).otherwise("Other")
+
+
+def vlan_kind(by_subnet: Column, name: Column, vlan_id: Column) -> Column:
+    """By the networks, else by words of the name, else by the number."""
+    return F.coalesce(by_subnet, F.nullif(by_word(name, VLAN_KINDS, ""), F.lit("")), number_kind(vlan_id))
+
+
 def merged_vlans(per_host: DataFrame) -> DataFrame:
-    """vlan_id, name, n_hosts, n_subnets, kind over all devices: the name of the first host that has one."""
+    """vlan_id, name, n_hosts, n_subnets, kind over all devices: the name of the first host that has one, the kind of the first network that has one."""
     name = F.when(F.col("name") != "", F.col("name"))
     rows = per_host.groupBy("vlan_id").agg(F.coalesce(F.min_by(name, F.when(name.isNotNull(), F.col("host"))), F.lit("")).alias("name"), F.count("*").alias("n_hosts"))
-    nets = per_host.select("vlan_id", F.explode("subnets").alias("net")).groupBy("vlan_id").agg(F.count_distinct("net").alias("n_subnets"))
-    rows = rows.join(nets, "vlan_id", "left").select("vlan_id", "name", "n_hosts", F.coalesce("n_subnets", F.lit(0).cast("bigint")).alias("n_subnets"))
-    return rows.withColumn("kind", by_word(F.col("name"), VLAN_KINDS, "Other"))
+    nets = per_host.select("vlan_id", "host", F.posexplode("subnets").alias("pos", "net")).withColumn("k", subnet_kind(F.col("net")))
+    nets = nets.groupBy("vlan_id").agg(F.count_distinct("net").alias("n_subnets"), F.min_by("k", F.when(F.col("k").isNotNull(), F.struct("host", "pos"))).alias("by_subnet"))
+    rows = rows.join(nets, "vlan_id", "left")
+    return rows.select("vlan_id", "name", "n_hosts", F.coalesce("n_subnets", F.lit(0).cast("bigint")).alias("n_subnets"), vlan_kind(F.col("by_subnet"), F.col("name"), F.col("vlan_id")).alias("kind"))
 
 
 def wan_addresses(interfaces: DataFrame) -> DataFrame:
@@ -112,7 +142,37 @@ def junos_addresses(configs: DataFrame) -> DataFrame:
     return rows.groupBy("host", "ip").agg(F.min(F.struct("form", "pos", "name", "description")).alias("x")).select("host", "x.name", "ip", "x.description")
 
 
-def carriers(wan: DataFrame) -> DataFrame:
-    """carrier, n_addresses, n_interfaces, shutdown: a carrier is shut down where a description says so."""
-    down = F.lower("description").rlike("disabled|shutdown|decommis")
-    return wan.where("carrier != ''").groupBy("carrier").agg(F.count_distinct("ip").alias("n_addresses"), F.count_distinct("host", "name").alias("n_interfaces"), F.bool_or(down).alias("shutdown"))
+def wan_of(configs: DataFrame) -> DataFrame:
+    """wan_addresses() of configurations: of junos in nested blocks and set lines, else of indented blocks."""
+    junos = F.col("platform").startswith("jun")
+    plain = facts.interfaces(configs.where(~junos), braced=False).select("host", "name", "ip", "description")
+    return wan_addresses(plain.unionByName(junos_addresses(configs.where(junos))))
+
+
+def carrier_asn(text: Column, carrier: Column) -> Column:
+    """The system of the first session within 500 characters behind a description that names the carrier, else ''."""
+    out = None
+    for word, name in CARRIERS:
+        hit = F.regexp_extract(text, rf"(?i)description[^;]*{word}[^;]*[\s\S]{{0,500}}?peer-as\s+(\d+)", 1)
+        out = F.when(carrier == name, hit) if out is None else out.when(carrier == name, hit)
+    return out.otherwise("")
+
+
+def carriers(wan: DataFrame, configs: DataFrame) -> DataFrame:
+    """carrier, n_addresses, n_interfaces, asn, shutdown of wan_addresses(): the system that the first host with one tells.
+
+    A carrier is shut down where a description says so, or where the text disables or deactivates one of its interfaces."""
+    rows = wan.where("carrier != ''").join(configs.select("host", "text"), "host")
+    literal = F.concat(F.lit(r"\Q"), F.col("name"), F.lit(r"\E"))
+    off = F.rlike("text", F.concat(F.lit(r"(?i)(?:deactivate\s+interfaces\s+"), literal, F.lit(r"|interfaces\s+"), literal, F.lit(r"[\s\S]{0,200}disable)")))
+    down = F.lower("description").rlike("disabled|shutdown|decommis") | off
+    rows = rows.select("carrier", "host", "ip", "name", down.alias("down"), F.nullif(carrier_asn(F.col("text"), F.col("carrier")), F.lit("")).alias("asn"))
+    return rows.groupBy("carrier").agg(F.count_distinct("ip").alias("n_addresses"), F.count_distinct("host", "name").alias("n_interfaces"), F.coalesce(F.min_by("asn", F.when(F.col("asn").isNotNull(), F.col("host"))), F.lit("")).alias("asn"), F.bool_or("down").alias("shutdown"))
+
+
+def tunnels(configs: DataFrame) -> DataFrame:
+    """host, pos, interface, address, description of tunnel interfaces of junos, each up to its first closing brace."""
+    own = F.arrays_zip(all_of(TUNNEL, 1).alias("interface"), all_of(TUNNEL, 2).alias("body"))
+    rows = configs.where("platform like 'jun%'").select("host", F.posexplode(own).alias("pos", "t"))
+    told = F.regexp_extract("t.body", r"description\s+([^;\n]+)", 1)
+    return rows.select("host", "pos", "t.interface", F.regexp_extract("t.body", rf"address\s+({R.IP}/\d{{1,2}})", 1).alias("address"), F.btrim(told, F.lit(' "')).alias("description"))

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import config_rules as R
-from logloom.functions.session import table
-from logloom.operators import cascade, compliance, diff, facts, sanitize, topology
+from logloom.functions.session import stored, table
+from logloom.operators import cascade, compliance, diff, facts, sanitize, segments, topology
+from logloom.plans import config_sql, fleet
 
 Query = Callable[[SparkSession, str], DataFrame]
-SEARCHES = ("ntp server", r"ip ospf cost \d{3}")
+SEARCHES = config_sql.SEARCHES
 
 
 def _configs(spark, sf_dir):
-    return facts.latest_configs(table(spark, sf_dir, "device_profile"))
+    return fleet.configs(spark, sf_dir)
+
+
+def _nodes(spark, sf_dir):
+    """Facts of the fleet, from one reading of its texts each for devices and interfaces."""
+    return stored(facts.nodes(stored(_configs(spark, sf_dir), "configs")), "nodes")
+
+
+def _sites(spark, sf_dir):
+    return table(spark, sf_dir, "site_manifest").select("site_id", "default_link_speed")
 
 
 def _texts(spark, sf_dir):
@@ -33,7 +42,7 @@ def parse_format_counts(spark, sf_dir):
 
 
 def routing_lines(spark, sf_dir):
-    return cascade.parse_routing(table(spark, sf_dir, "raw_line").where("line rlike '^[0-9]{4}/'"))
+    return cascade.parse_routing(table(spark, sf_dir, "raw_line"))
 
 
 def sanitize_text(spark, sf_dir):
@@ -50,12 +59,23 @@ def mask_public_ipv4(spark, sf_dir):
     return sanitize.mask_public(rows).select("id", "n", F.sha2("text", 256).alias("digest"))
 
 
+def mask_pii(spark, sf_dir):
+    """Configurations without secrets, names and public addresses."""
+    rows = _configs(spark, sf_dir).select(F.col("host").alias("id"), "text")
+    return sanitize.sanitize_all(rows, mask_pii=True).select("id", "n", F.sha2("text", 256).alias("digest"))
+
+
+def mask_report(spark, sf_dir):
+    rows = sanitize.mask_names(_configs(spark, sf_dir).select(F.col("host").alias("id"), "text")).select(F.explode("by_rule").alias("rule", "n"))
+    return rows.groupBy("rule").agg(F.sum("n").alias("n"))
+
+
 def device_ips(spark, sf_dir):
     return facts.addresses(_configs(spark, sf_dir)).select("host", "cidr", "ip_num", "net_num", F.col("length").cast("bigint").alias("length"))
 
 
 def bgp_peers(spark, sf_dir):
-    return facts.bgp_peers(_configs(spark, sf_dir))
+    return facts.bgp_peers(_configs(spark, sf_dir)).drop("site_id")
 
 
 def mlag_peers(spark, sf_dir):
@@ -63,7 +83,7 @@ def mlag_peers(spark, sf_dir):
 
 
 def descriptions(spark, sf_dir):
-    return facts.descriptions(_configs(spark, sf_dir)).withColumn("pos", F.col("pos").cast("bigint"))
+    return facts.descriptions(_configs(spark, sf_dir)).select("host", F.col("pos").cast("bigint").alias("pos"), "description")
 
 
 def interfaces(spark, sf_dir):
@@ -71,7 +91,7 @@ def interfaces(spark, sf_dir):
 
 
 def interface_ospf(spark, sf_dir):
-    rows = facts.interfaces(_configs(spark, sf_dir)).drop("ip", "description", "speed")
+    rows = facts.interfaces(_configs(spark, sf_dir)).drop("pos", "ip", "description", "speed")
     return rows.where(F.coalesce(*[F.col(c).cast("string") for c in rows.columns if c.startswith("ospf_")]).isNotNull())
 
 
@@ -95,22 +115,53 @@ def lifecycle(spark, sf_dir):
     return facts.lifecycle(facts.wide(_configs(spark, sf_dir)).select("host", "platform", "version"))
 
 
-def _candidates(spark, sf_dir):
-    configs = _configs(spark, sf_dir)
-    at, profile = facts.addresses(configs), facts.wide(configs)
-    mlag = configs.select("host", F.explode(facts.distinct_valid(facts.all_of(R.MLAG_PEER))).alias("ip"))
-    out = topology.by_description(facts.descriptions(configs), configs.select("host"))
-    for more in (topology.by_address(mlag, at, "mlag-peer"), topology.by_address(facts.bgp_peers(configs), at, "bgp-neighbor"), topology.by_subnet(at), topology.ha_pairs(profile)):
-        out = out.unionByName(more)
-    return out
+def peer_blocks(spark, sf_dir):
+    return facts.peer_blocks(_configs(spark, sf_dir)).select("host", "ip", "remote_as")
+
+
+def node_facts(spark, sf_dir):
+    rows = _nodes(spark, sf_dir)
+    numbers = lambda c: F.array_join(F.transform(F.array_sort(c), lambda v: v.cast("string")), ",").alias(c)
+    return rows.select("host", "local_asn", "router_id", "vtep_source", "vtep_ip", numbers("l2_vnis"), numbers("l3_vnis"), F.array_join("families", ",").alias("families"), F.size("ifs").cast("bigint").alias("interfaces"))
+
+
+def node_flags(spark, sf_dir):
+    return topology.described_nodes(_nodes(spark, sf_dir), table(spark, sf_dir, "device_inventory"))
+
+
+def node_overlay(spark, sf_dir):
+    return topology.overlay(_configs(spark, sf_dir), table(spark, sf_dir, "action_item"))
+
+
+def platform_guesses(spark, sf_dir):
+    return _configs(spark, sf_dir).select("host", facts.platform_guess(F.col("text")).alias("platform"))
 
 
 def edge_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("source", "target", "rule", "confidence").distinct()
+    return topology.candidates(_nodes(spark, sf_dir)).select("source", "target", "rule", "confidence").distinct()
+
+
+def subnet_owners(spark, sf_dir):
+    rows = topology.subnet_owners(facts.addresses(_nodes(spark, sf_dir)))
+    return rows.select("site_id", "net_num", F.col("length").cast("bigint").alias("length"), F.array_join("owners", ",").alias("owners"))
 
 
 def edges_best(spark, sf_dir):
-    return topology.best(_candidates(spark, sf_dir))
+    return topology.best(topology.candidates(_nodes(spark, sf_dir)))
+
+
+def _detail(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    return topology.detail(topology.best(topology.candidates(nodes)), nodes, _sites(spark, sf_dir))
+
+
+def edge_detail(spark, sf_dir):
+    rows, text = _detail(spark, sf_dir), lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+    return rows.withColumns({c: text(c) for c in ("families", "l2_vnis", "l3_vnis", "layers")})
+
+
+def edge_layers(spark, sf_dir):
+    return topology.layer_counts(_detail(spark, sf_dir))
 
 
 def compliance_checks(spark, sf_dir):
@@ -118,7 +169,8 @@ def compliance_checks(spark, sf_dir):
 
 
 def compliance_rollup(spark, sf_dir):
-    return compliance.rollup(compliance.check(_configs(spark, sf_dir)))
+    rows = compliance.rollup(compliance.check(_configs(spark, sf_dir)))
+    return rows.withColumn("failing", F.array_join(F.transform("failing", lambda f: F.concat(f["device"], F.lit(": "), f["reason"])), "|"))
 
 
 def compliance_totals(spark, sf_dir):
@@ -127,7 +179,7 @@ def compliance_totals(spark, sf_dir):
 
 def fleet_search(spark, sf_dir):
     configs = _configs(spark, sf_dir)
-    parts = [compliance.search_fleet(configs, p).select(F.lit(p).alias("pattern"), "device", "match_count") for p in SEARCHES]
+    parts = [compliance.search_fleet(configs, p).select(F.lit(p).alias("pattern"), "device", "match_count", F.array_join("snippets", "|").alias("snippets")) for p in SEARCHES]
     return parts[0].unionByName(parts[1])
 
 
@@ -135,6 +187,17 @@ def fleet_search_totals(spark, sf_dir):
     return fleet_search(spark, sf_dir).groupBy("pattern").agg(F.count("*").alias("devices"), F.sum("match_count").alias("matches"))
 
 
+def fingerprints(spark, sf_dir):
+    """What to look for in a fleet, of the descriptions and first samples of action items."""
+    rows = table(spark, sf_dir, "action_item").select(F.col("item_id").alias("id"), F.concat_ws("\n", "description", F.get("sample_messages", F.lit(0))).alias("evidence"))
+    return compliance.fingerprint(rows)
+
+
+def role_descriptions(spark, sf_dir):
+    """Of each device, what it is among those of its role and site, in order of names."""
+    return facts.role_descriptions(_configs(spark, sf_dir))
+
+
 def role_counts(spark, sf_dir):
     return _configs(spark, sf_dir).groupBy(F.element_at(F.split("host", "-"), 2).alias("role")).agg(F.count("*").alias("n"))
 
@@ -145,7 +208,7 @@ def version_counts(spark, sf_dir):
 
 def composition(spark, sf_dir):
     rows = facts.wide(_configs(spark, sf_dir)).withColumn("role", F.when(F.col("function") != "", F.col("function")).otherwise("unknown"))
-    return rows.groupBy("role").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("version") != "", F.col("version")))), ",").alias("versions"))
+    return rows.groupBy("role").agg(F.count("*").alias("n"), *[F.array_join(F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))), ",").alias(f"{c}s") for c in ("version", "model", "host")])
 
 
 def bgp_split(spark, sf_dir):
@@ -153,12 +216,12 @@ def bgp_split(spark, sf_dir):
     configs = _configs(spark, sf_dir)
     profile = facts.wide(configs)
     own = profile.where("local_asn != ''").select(F.col("local_asn").cast("bigint").alias("asn")).distinct().withColumn("inside", F.lit(True))
-    peers = facts.bgp_peers(configs).where("asn is not null").join(configs.select("host", "site_id"), "host").join(own, "asn", "left")
+    peers = facts.bgp_peers(configs).where("asn is not null").join(own, "asn", "left")
     return peers.groupBy("site_id").agg(F.count("*").alias("sessions"), F.count_if(F.col("inside")).alias("ibgp"), F.count_if(F.col("inside").isNull()).alias("ebgp"))
 
 
 def asn_holders(spark, sf_dir):
-    return facts.wide(_configs(spark, sf_dir)).where("local_asn != ''").groupBy("local_asn").agg(F.count("*").alias("n"), F.min("host").alias("first_host"))
+    return facts.wide(_configs(spark, sf_dir)).where("local_asn != ''").groupBy("local_asn").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("host")), ",").alias("hosts"))
 
 
 def remote_as_top(spark, sf_dir):
@@ -166,12 +229,25 @@ def remote_as_top(spark, sf_dir):
 
 
 def missing_services(spark, sf_dir):
-    """By site, how many devices have no NTP, no syslog, no AAA, or SNMP communities."""
+    """By site, the devices without NTP, syslog or AAA, and those with SNMP communities."""
     configs = _configs(spark, sf_dir)
     per = facts.endpoints(configs).groupBy("host").agg(F.collect_set("service").alias("s"))
     rows = configs.select("host", "site_id", F.col("text").rlike(dict(R.FLAGS)["snmp_v2c"]).alias("v2c")).join(per, "host", "left")
     has = lambda s: F.coalesce(F.array_contains("s", s), F.lit(False))
-    return rows.groupBy("site_id").agg(F.count("*").alias("devices"), F.count_if(~has("ntp")).alias("no_ntp"), F.count_if(~has("syslog")).alias("no_syslog"), F.count_if(~has("radius") & ~has("tacacs")).alias("no_aaa"), F.count_if("v2c").alias("snmp_v2c"))
+    lists = {"no_ntp": ~has("ntp"), "no_syslog": ~has("syslog"), "no_aaa": ~has("radius") & ~has("tacacs"), "snmp_v2c": F.col("v2c")}
+    return rows.groupBy("site_id").agg(F.count("*").alias("devices"), *[F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("host")))), ",").alias(n) for n, c in lists.items()])
+
+
+def site_facts(spark, sf_dir):
+    """By site, what runs anywhere in it, sums over its devices, distinct public addresses, devices that lead out and old software."""
+    configs = stored(_configs(spark, sf_dir), "configs")
+    nodes, wide = facts.nodes(configs), facts.wide(configs)
+    old = facts.lifecycle(wide.select("host", "platform", "version")).select("host", facts.is_risky(F.col("status")).alias("risky"))
+    rows = nodes.select("host", "site_id", "function", *[f"has_{n}" for n, _ in R.NODE_WORDS], F.size("peers").alias("n_peers"), F.size("ifs").alias("n_ifs")).join(wide.select("host", "isis", "bfd", "n_static_routes", "n_descriptions"), "host").join(old, "host")
+    wan = segments.wan_of(configs).join(configs.select("host", "site_id"), "host").groupBy("site_id").agg(F.count_distinct("ip").alias("wan_ips"))
+    total = lambda c: F.sum(c).cast("bigint").alias(c)
+    out = rows.groupBy("site_id").agg(F.count("*").alias("devices"), *[F.bool_or(c).alias(c) for c in (*[f"has_{n}" for n, _ in R.NODE_WORDS], "isis", "bfd")], *map(total, ("n_peers", "n_ifs", "n_static_routes", "n_descriptions")), F.count_if(facts.is_gateway(F.col("host"), F.col("function"))).alias("gateways"), F.count_if("risky").alias("risky"))
+    return out.join(wan, "site_id", "left").withColumn("wan_ips", F.coalesce("wan_ips", F.lit(0).cast("bigint")))
 
 
 def facilities(spark, sf_dir):
@@ -199,177 +275,12 @@ def diff_unified(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     own = (
-        parse_lines, parse_format_counts, routing_lines, sanitize_text, sanitize_report, mask_public_ipv4, device_ips, bgp_peers, mlag_peers, descriptions, interfaces, interface_ospf, address_families, device_profiles, named_values, service_endpoints, lifecycle, edge_candidates, edges_best,
-        compliance_checks, compliance_rollup, compliance_totals, fleet_search, fleet_search_totals, role_counts, version_counts, composition, bgp_split, asn_holders, remote_as_top, missing_services, facilities, site_inventory, diff_sections, diff_unified,
+        parse_lines, parse_format_counts, routing_lines, sanitize_text, sanitize_report, mask_public_ipv4, mask_pii, mask_report, device_ips, bgp_peers, mlag_peers, descriptions, interfaces, interface_ospf, address_families, device_profiles, named_values, service_endpoints, lifecycle, peer_blocks,
+        node_facts, node_flags, node_overlay, platform_guesses, edge_candidates, edges_best, subnet_owners, edge_detail, edge_layers, compliance_checks, compliance_rollup, compliance_totals, fleet_search, fleet_search_totals, fingerprints, role_descriptions, role_counts, version_counts, composition, bgp_split,
+        asn_holders, remote_as_top, missing_services, site_facts, facilities, site_inventory, diff_sections, diff_unified,
     )
     return {f.__name__: f for f in own}
 
 
-def _q(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-DEV = """WITH d0 AS (SELECT profile_id, nullif(lower(split_part(trim(hostname), '.', 1)), '') AS host, site_id, lower(coalesce(platform, '')) AS platform, coalesce("function", '') AS "function", captured_at, regexp_replace(coalesce(config_text, ''), '\\r', '', 'g') AS txt FROM device_profile),
-dev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY captured_at DESC, profile_id DESC) AS k FROM d0 WHERE host IS NOT NULL) WHERE k = 1)"""
-
-
-def _all(p: str, g: int = 1) -> str:
-    return f"regexp_extract_all(txt, {_q(p)}, {g})"
-
-
-def _ip_num(c: str) -> str:
-    return f"((split_part({c}, '.', 1)::BIGINT * 256 + split_part({c}, '.', 2)::BIGINT) * 256 + split_part({c}, '.', 3)::BIGINT) * 256 + split_part({c}, '.', 4)::BIGINT"
-
-
-def _valid(c: str) -> str:
-    o = " AND ".join(f"try_cast(split_part({c}, '.', {i}) AS INT) <= 255" for i in range(1, 5))
-    return f"regexp_full_match({c}, '(?:(?:0|[1-9]\\d{{0,2}})\\.){{3}}(?:0|[1-9]\\d{{0,2}})') AND {o}"
-
-
-def _first(*patterns: str) -> str:
-    return "coalesce(" + ", ".join(f"nullif(regexp_extract(txt, {_q(p)}, 1), '')" for p in patterns) + ", '')"
-
-
-def _addresses_sql() -> str:
-    return f""", ad0 AS (SELECT host, unnest(list_distinct(CASE WHEN platform LIKE 'junos%' THEN list_concat({_all(R.JUNOS_ADDRESS)}, {_all(R.JUNOS_BLOCK_ADDRESS)}) WHEN platform IN ('eos', 'arista', 'frr', 'ios') THEN {_all(R.LINE_ADDRESS)} ELSE list_concat({_all(R.JUNOS_ADDRESS)}, {_all(R.LINE_ADDRESS)}) END)) AS cidr FROM dev),
-ad AS (SELECT host, cidr, {_ip_num("split_part(cidr, '/', 1)")} AS ip_num, split_part(cidr, '/', 2)::BIGINT AS length FROM ad0 WHERE {_valid("split_part(cidr, '/', 1)")} AND split_part(cidr, '/', 2)::INT <= 32),
-addr AS (SELECT host, cidr, ip_num, ip_num - ip_num % (1::BIGINT << (32 - length)) AS net_num, length FROM ad)"""
-
-
-def _peers_sql() -> str:
-    return f""", pe AS (SELECT DISTINCT host, ip FROM (SELECT host, unnest({_all(R.BGP_PEER)}) AS ip FROM dev) WHERE {_valid("ip")}),
-pn AS (SELECT host, unnest({_all(R.BGP_PEER_AS, 1)}) AS ip, unnest({_all(R.BGP_PEER_AS, 2)})::BIGINT AS asn, unnest(range(len({_all(R.BGP_PEER_AS, 1)}))) AS pos FROM dev),
-peers AS (SELECT pe.host, pe.ip, x.asn FROM pe LEFT JOIN (SELECT host, ip, arg_max(asn, pos) AS asn FROM pn GROUP BY ALL) x USING (host, ip))"""
-
-
-def _wide_sql() -> str:
-    cols = [f"{_first(*R.LOCAL_AS)} AS local_asn", f"{_first(*R.ROUTER_ID)} AS ospf_router_id", f"{_first(*R.VERSION)} AS version", f"{_first(R.MODEL)} AS model"]
-    cols += [f"regexp_matches(txt, {_q(p)}) AS {n}" for n, p in R.FLAGS] + [f"len({_all(p, 0)}) AS n_{n}" for n, p in R.COUNTS]
-    return f', wide AS (SELECT host, site_id, platform, "function", length(txt) AS size, {", ".join(cols)} FROM dev)'
-
-
-def _edges_sql() -> str:
-    stem = "'^(.+?-(?:fw|rt|sw)-)(\\d+)([ab]?)$'"
-    return f""", ds AS (SELECT host, regexp_replace(unnest({_all(R.DESCRIPTION)}), '^\\s+|\\s+$', '', 'g') AS description FROM dev),
-ml AS (SELECT DISTINCT host, ip FROM (SELECT host, unnest({_all(R.MLAG_PEER)}) AS ip FROM dev) WHERE {_valid("ip")}),
-nm AS (SELECT DISTINCT s.host, s.description, o.host AS other FROM ds s JOIN dev o ON contains(lower(s.description), lower(o.host)) AND s.host <> o.host),
-sh AS (SELECT DISTINCT s.host, s.description, o.host AS other FROM ds s JOIN dev o ON s.host <> o.host AND contains(o.host, '-') AND list_contains(regexp_split_to_array(lower(s.description), '\\s+'), lower(substr(o.host, instr(o.host, '-') + 1)))
- WHERE NOT contains(lower(s.description), lower(o.host))),
-st AS (SELECT host, cluster, regexp_extract(host, {stem}, 1) AS stem, try_cast(regexp_extract(host, {stem}, 2) AS BIGINT) AS n, regexp_extract(host, {stem}, 2) AS t, regexp_extract(host, {stem}, 3) AS side FROM wide WHERE regexp_extract(host, {stem}, 1) <> ''),
-cand AS (SELECT DISTINCT least(a, b) AS source, greatest(a, b) AS target, rule, confidence, rnk FROM (
- SELECT host AS a, other AS b, 'description-hostname' AS rule, 0.95::DOUBLE AS confidence, 0 AS rnk FROM nm
- UNION ALL SELECT host, other, 'description-shortform', 0.7, 1 FROM sh
- UNION ALL SELECT m.host, x.host, 'mlag-peer', 1.0, 2 FROM ml m JOIN addr x ON m.ip = split_part(x.cidr, '/', 1)
- UNION ALL SELECT p.host, x.host, 'bgp-neighbor', 0.95, 3 FROM peers p JOIN addr x ON p.ip = split_part(x.cidr, '/', 1)
- UNION ALL SELECT x.host, y.host, 'subnet-co-membership', 0.85, 4 FROM addr x JOIN addr y ON x.net_num = y.net_num AND x.length = y.length AND x.length BETWEEN 28 AND 31
- UNION ALL SELECT x.host, y.host, 'ha-pair-naming', 0.9, 5 FROM st x JOIN st y ON x.stem = y.stem AND (x.cluster OR y.cluster) AND ((x.side = 'a' AND y.side = 'b' AND x.t = y.t) OR (x.side = '' AND y.side = '' AND y.n = x.n + 1))) WHERE a <> b)"""
-
-
-def _checks_sql() -> str:
-    parts = []
-    for rule_id, _, severity, platforms, required, forbidden, condition, least in R.COMPLIANCE:
-        m = lambda p: f"regexp_matches(txt, {_q('(?im)' + p)})"
-        case = [f"WHEN {m(p)} THEN {_q('Forbidden pattern matched: ' + p[:60])}" for p in forbidden]
-        if least:
-            n = f"len(regexp_extract_all(txt, {_q('(?im)' + least[0])}))"
-            case.append(f"WHEN {n} < {least[1]} THEN 'Only ' || {n} || {_q(f" match(es) of '{least[0][:40]}'; need ≥{least[1]}")}")
-        if required:
-            case.append(f"WHEN NOT ({' OR '.join(map(m, required))}) THEN 'None of the required patterns matched'")
-        where = f"platform IN ({', '.join(map(_q, platforms))})" + (f" AND ({' OR '.join(map(m, condition))})" if condition else "")
-        parts.append(f"SELECT {_q(rule_id)} AS rule_id, {_q(severity)} AS severity, host AS device, CASE {' '.join(case)} ELSE 'ok' END AS reason FROM dev WHERE {where}")
-    return ", ck AS (SELECT *, reason = 'ok' AS passed FROM (" + " UNION ALL ".join(parts) + "))"
-
-
-def _sanitize_sql() -> str:
-    steps = ["s0 AS (SELECT profile_id AS id, regexp_replace(config_text, '\\r', '', 'g') AS t FROM device_profile)"]
-    for i, (_, p, r) in enumerate(R.SECRETS):
-        carried = "".join(f", n{k}" for k in range(i))
-        steps.append(f"s{i + 1} AS (SELECT id, regexp_replace(t, {_q(p)}, {_q(r)}, 'g') AS t{carried}, len(regexp_extract_all(t, {_q(p)})) AS n{i} FROM s{i})")
-    return "WITH " + ", ".join(steps)
-
-
-def _lines_sql() -> str:
-    case = " ".join(f"WHEN regexp_matches(l, {_q(p)}) THEN {_q(n)}" for n, p, _ in R.LINE_FORMATS)
-
-    def part(k: int, free: str) -> str:
-        return "CASE fmt " + " ".join(f"WHEN {_q(n)} THEN " + (f"regexp_extract(l, {_q(p)}, {g[k]})" if g[k] else "''") for n, p, g in R.LINE_FORMATS) + f" ELSE {free} END"
-
-    sev = "[" + ", ".join(map(_q, R.RAW_SEVERITIES)) + "]"
-    return f"""WITH l0 AS (SELECT seq, coalesce(default_host, '') AS dh, regexp_replace(regexp_replace(line, '^﻿+', ''), '^\\s+|\\s+$', '', 'g') AS l FROM raw_line),
-l1 AS (SELECT *, CASE {case} ELSE 'free' END AS fmt FROM l0 WHERE l <> ''),
-l2 AS (SELECT seq, fmt, dh, {part(0, "''")} AS pri, {part(1, "''")} AS "timestamp", {part(2, "''")} AS h, {part(3, "'syslog'")} AS app, regexp_replace({part(4, "l")}, '^\\s+|\\s+$', '', 'g') AS message FROM l1),
-ln AS (SELECT seq, fmt, "timestamp", CASE WHEN h <> '' THEN h ELSE dh END AS hostname, CASE WHEN fmt = 'terminal' THEN 'scrt-session' ELSE app END AS appname, CASE WHEN pri <> '' THEN {sev}[(pri::INT & 7) + 1] ELSE 'info' END AS severity_raw, message FROM l2 WHERE fmt <> 'terminal' OR message <> '')"""
-
-
 def oracle_sql() -> dict[str, str]:
-    ranges = " OR ".join(f"n BETWEEN {sanitize.number_of(a)} AND {sanitize.number_of(b)}" for a, b in R.NOT_PUBLIC)
-    names = " ".join(f"WHEN {_q(a)} THEN {_q(b)}" for a, b in R.FAMILY_NAMES)
-    by_name = " ".join(f"WHEN starts_with(lower(name), {_q(a)}) THEN {_q(b)}" for a, b in R.SPEED_BY_NAME)
-    life = ", ".join(f"({e}, {_q(r[0])}, {_q(r[1])}, {_q(r[2])}, {_q(r[3])})" for e, rows in (("true", R.EOS_LIFECYCLE), ("false", R.JUNOS_LIFECYCLE)) for r in rows)
-    ends = " UNION ALL ".join(f"SELECT host, {_q(n)} AS service, unnest({_all(p)}) AS v, unnest(range(len({_all(p)}))) AS pos FROM dev" for n, p in R.ENDPOINTS)
-    endpoint = f""", e0 AS (SELECT host, service, regexp_replace(v, '^[ ;,\\t\\r\\n]+|[ ;,\\t\\r\\n]+$', '', 'g') AS v, pos FROM ({ends})),
-e1 AS (SELECT host, service, v, min(pos) AS pos FROM e0 WHERE regexp_full_match(v, '[A-Za-z0-9._:-]+') GROUP BY ALL),
-ep AS (SELECT host, service, string_agg(v, ',' ORDER BY pos) AS endpoints FROM (SELECT *, row_number() OVER (PARTITION BY host, service ORDER BY pos) AS k FROM e1) WHERE k <= 8 GROUP BY ALL)"""
-    search = " UNION ALL ".join(f"SELECT {_q(p)} AS pattern, host AS device, len(regexp_extract_all(txt, {_q('(?im)' + (p if re.search(r'[\\.*+?]', p) else re.escape(p)))})) AS match_count FROM dev" for p in SEARCHES)
-    section = " ".join(f"WHEN regexp_matches(lower(line), {_q(p)}) THEN {_q(n)}" for n, p in R.SECTIONS)
-    hints = " ".join(f"WHEN regexp_matches(message, {_q(p)}) THEN {_q(s)}" for p, s in R.HINTS)
-    rl = _q(R.ROUTING_LINE)
-    block = f"(SELECT host, unnest({_all(R.INTERFACE_BLOCK, 1)}) AS name, unnest({_all(R.INTERFACE_BLOCK, 2)}) AS body, unnest(range(len({_all(R.INTERFACE_BLOCK, 1)}))) AS pos FROM dev)"
-    return {
-        "parse_lines": _lines_sql() + ' SELECT seq, fmt, "timestamp", hostname, appname, severity_raw, message FROM ln',
-        "parse_format_counts": _lines_sql() + " SELECT fmt, severity_raw, count(*) AS n FROM ln GROUP BY ALL",
-        "routing_lines": f"""WITH r0 AS (SELECT seq, coalesce(default_host, '') AS hostname, regexp_replace(line, '\\s+$', '') AS l FROM raw_line WHERE regexp_matches(line, '^[0-9]{{4}}/')),
- r1 AS (SELECT seq, hostname, regexp_matches(l, {rl}) AS hit, l FROM r0 WHERE l <> ''),
- r2 AS (SELECT seq, hostname, CASE WHEN hit THEN replace(regexp_replace(regexp_extract(l, {rl}, 1), '\\s+', 'T', 'g'), '/', '-') ELSE '' END AS "timestamp", CASE WHEN hit THEN lower(regexp_extract(l, {rl}, 2)) ELSE 'frr' END AS appname,
- regexp_replace(CASE WHEN hit THEN regexp_extract(l, {rl}, 4) ELSE l END, '^\\s+|\\s+$', '', 'g') AS message FROM r1)
- SELECT seq, hostname, "timestamp", appname, CASE {hints} ELSE 'info' END AS severity_raw, message FROM r2""",
-        "sanitize_text": _sanitize_sql() + f" SELECT id, {' + '.join(f'coalesce(n{i}, 0)' for i in range(len(R.SECRETS)))} AS n, sha256(t) AS digest FROM s{len(R.SECRETS)}",
-        "sanitize_report": _sanitize_sql() + " " + " UNION ALL ".join(f"SELECT {_q(r[0])} AS rule, sum(n{i})::BIGINT AS n FROM s{len(R.SECRETS)} HAVING sum(n{i}) > 0" for i, r in enumerate(R.SECRETS)),
-        "mask_public_ipv4": f"""WITH a AS (SELECT doc_id AS id, text, regexp_extract_all(text, {_q(sanitize.IPV4)}) AS f, regexp_split_to_array(text, {_q(sanitize.IPV4)}) AS p FROM documents),
- u AS (SELECT id, unnest(p) AS piece, unnest(list_append(f, '')) AS x, unnest(range(len(p))) AS pos FROM a),
- n AS (SELECT *, CASE WHEN {_valid("x")} THEN {_ip_num("x")} END AS n FROM u),
- m AS (SELECT id, piece, pos, n IS NOT NULL AND NOT ({ranges}) AS pub, x FROM n)
- SELECT id, count(*) FILTER (pub) AS n, sha256(string_agg(piece || CASE WHEN pub THEN 'PUB-' || substr(sha256({_q(sanitize.SALT + ":")} || x), 1, 8) ELSE x END, '' ORDER BY pos)) AS digest FROM m GROUP BY 1""",
-        "device_ips": DEV + _addresses_sql() + " SELECT host, cidr, ip_num, net_num, length FROM addr",
-        "bgp_peers": DEV + _peers_sql() + " SELECT host, ip, asn FROM peers",
-        "mlag_peers": DEV + f" SELECT DISTINCT host, ip FROM (SELECT host, unnest({_all(R.MLAG_PEER)}) AS ip FROM dev) WHERE {_valid('ip')}",
-        "descriptions": DEV + f" SELECT host, pos, regexp_replace(d, '^\\s+|\\s+$', '', 'g') AS description FROM (SELECT host, unnest({_all(R.DESCRIPTION)}) AS d, unnest(range(len({_all(R.DESCRIPTION)}))) AS pos FROM dev)",
-        "interfaces": DEV + f""", b AS (SELECT host, name, pos, regexp_extract(body, {_q(R.LINE_ADDRESS)}, 1) AS ip, regexp_replace(regexp_extract(body, {_q(R.BLOCK_DESCRIPTION)}, 1), '^\\s+|\\s+$', '', 'g') AS description, regexp_extract(body, {_q(R.SPEED)}, 1) AS sn, regexp_extract(body, {_q(R.SPEED)}, 2) AS su FROM {block}),
- c AS (SELECT *, CASE WHEN sn = '' THEN '' WHEN upper(su) = 'G' THEN sn::BIGINT || 'G' WHEN sn::BIGINT >= 1000 AND sn::BIGINT % 1000 = 0 THEN (sn::BIGINT // 1000) || 'G' ELSE sn::BIGINT || 'M' END AS speed FROM b),
- g AS (SELECT host, name, coalesce(arg_min(ip, pos) FILTER (ip <> ''), '') AS ip, coalesce(arg_min(description, pos) FILTER (description <> ''), '') AS description, coalesce(arg_min(speed, pos) FILTER (speed <> ''), '') AS speed FROM c GROUP BY ALL)
- SELECT host, name, ip, description, CASE WHEN speed <> '' THEN speed ELSE CASE {by_name} ELSE '' END END AS speed FROM g""",
-        "address_families": DEV + f""", f0 AS (SELECT host, regexp_replace(lower(unnest({_all(R.ADDRESS_FAMILY)})), '\\s+', '-', 'g') AS a, unnest(range(len({_all(R.ADDRESS_FAMILY)}))) AS pos FROM dev),
- f1 AS (SELECT host, CASE a {names} ELSE a END AS a, min(pos) AS pos FROM f0 GROUP BY ALL),
- f2 AS (SELECT host, a, pos FROM f1 UNION ALL SELECT d.host, 'l2vpn-evpn', 1000000 FROM dev d WHERE (regexp_matches(txt, {_q(R.EVPN_SIGNALLED)}) OR EXISTS (SELECT 1 FROM f1 WHERE f1.host = d.host AND contains(a, 'evpn'))) AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.host = d.host AND a = 'l2vpn-evpn'))
- SELECT d.host, coalesce(string_agg(a, ',' ORDER BY pos), '') AS families FROM dev d LEFT JOIN f2 USING (host) GROUP BY 1""",
-        "device_profiles": DEV + _wide_sql() + " SELECT * FROM wide",
-        "named_values": DEV + f""", v AS (SELECT host, unnest(list_concat({", ".join(_all(p) for p in R.VNI)})) AS value FROM dev),
- w AS (SELECT host, regexp_replace(unnest(list_concat(list_concat({_all(R.VRF[0])}, {_all(R.VRF[1])}), {_all(R.VRF[2])})), '[{{\\s]+$', '') AS value FROM dev)
- SELECT DISTINCT host, CASE WHEN value::BIGINT >= 50000 THEN 'l3_vni' ELSE 'l2_vni' END AS kind, value FROM v UNION SELECT host, 'vrf', value FROM w WHERE value <> '' AND lower(value) NOT IN ({", ".join(map(_q, R.VRF_SKIP))}) UNION SELECT host, 'area', unnest({_all(R.OSPF_AREA)}) FROM dev""",
-        "service_endpoints": DEV + endpoint + " SELECT host, service, endpoints FROM ep",
-        "lifecycle": DEV + _wide_sql() + f""", l AS (SELECT * FROM (VALUES {life}) t(eos, prefix, released, ends, status)),
- j AS (SELECT w.host, w.platform, w.version, arg_max(l, length(l.prefix)) AS l FROM wide w LEFT JOIN l ON l.eos = (w.platform IN ('eos', 'arista')) AND starts_with(w.version, l.prefix) AND w.version <> '' GROUP BY ALL)
- SELECT host, platform, version, coalesce(l.released, '') AS released, coalesce(l.ends, '') AS ends, CASE WHEN version = '' THEN {_q(R.NO_VERSION)} ELSE coalesce(l.status, {_q(R.NOT_LISTED)}) END AS status FROM j""",
-        "edge_candidates": DEV + _wide_sql() + _addresses_sql() + _peers_sql() + _edges_sql() + " SELECT source, target, rule, confidence FROM cand",
-        "edges_best": DEV + _wide_sql() + _addresses_sql() + _peers_sql() + _edges_sql() + " SELECT source, target, arg_max(rule, (confidence, -rnk)) AS rule, max(confidence) AS confidence, count(DISTINCT rule) AS n_rules FROM cand GROUP BY 1, 2",
-        "compliance_checks": DEV + _checks_sql() + " SELECT rule_id, severity, device, passed, reason FROM ck",
-        "compliance_rollup": DEV + _checks_sql() + " SELECT rule_id, count(*) FILTER (passed) AS n_pass, count(*) FILTER (NOT passed) AS n_fail FROM ck GROUP BY 1",
-        "compliance_totals": DEV + _checks_sql() + " SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, CASE WHEN count(*) > 0 THEN (1000 * count(*) FILTER (passed)) // count(*) ELSE 0 END AS per_mille FROM ck",
-        "fleet_search": DEV + f" SELECT pattern, device, match_count FROM ({search}) WHERE match_count > 0",
-        "fleet_search_totals": DEV + f" SELECT pattern, count(*) AS devices, sum(match_count)::BIGINT AS matches FROM ({search}) WHERE match_count > 0 GROUP BY 1",
-        "role_counts": DEV + " SELECT split_part(host, '-', 2) AS role, count(*) AS n FROM dev GROUP BY 1",
-        "version_counts": DEV + _wide_sql() + " SELECT version, count(*) AS n FROM wide WHERE version <> '' GROUP BY 1",
-        "composition": DEV + _wide_sql() + """ SELECT coalesce(nullif("function", ''), 'unknown') AS role, count(*) AS n, coalesce(string_agg(DISTINCT nullif(version, ''), ',' ORDER BY nullif(version, '')), '') AS versions FROM wide GROUP BY 1""",
-        "bgp_split": DEV + _wide_sql() + _peers_sql() + """ SELECT d.site_id, count(*) AS sessions, count(*) FILTER (i.asn IS NOT NULL) AS ibgp, count(*) FILTER (i.asn IS NULL) AS ebgp FROM peers p JOIN dev d USING (host) LEFT JOIN (SELECT DISTINCT local_asn::BIGINT AS asn FROM wide WHERE local_asn <> '') i ON i.asn = p.asn WHERE p.asn IS NOT NULL GROUP BY 1""",
-        "asn_holders": DEV + _wide_sql() + " SELECT local_asn, count(*) AS n, min(host) AS first_host FROM wide WHERE local_asn <> '' GROUP BY 1",
-        "remote_as_top": DEV + _peers_sql() + " SELECT asn, count(*) AS n FROM peers WHERE asn IS NOT NULL GROUP BY 1 ORDER BY n DESC, asn LIMIT 15",
-        "missing_services": DEV + _wide_sql() + endpoint + """ SELECT w.site_id, count(*) AS devices, count(*) FILTER (NOT EXISTS (SELECT 1 FROM ep WHERE ep.host = w.host AND service = 'ntp')) AS no_ntp, count(*) FILTER (NOT EXISTS (SELECT 1 FROM ep WHERE ep.host = w.host AND service = 'syslog')) AS no_syslog,
- count(*) FILTER (NOT EXISTS (SELECT 1 FROM ep WHERE ep.host = w.host AND service IN ('radius', 'tacacs'))) AS no_aaa, count(*) FILTER (snmp_v2c) AS snmp_v2c FROM wide w GROUP BY 1""",
-        "facilities": "SELECT site_id, coalesce(f.city, 'Unknown city') AS city FROM site_manifest LEFT JOIN (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b, _ in R.FACILITIES) + ") f(code, city) ON f.code = lower(left(site_id, 3))",
-        "site_inventory": "SELECT s.site_id, s.vendor, coalesce(d.n, 0) AS devices, coalesce(c.n, 0) AS captures, coalesce(c.b, 0) AS bytes FROM site_manifest s LEFT JOIN (SELECT site_id, count(*) AS n FROM device_inventory GROUP BY 1) d USING (site_id) LEFT JOIN (SELECT site_id, count(*) AS n, sum(config_size_bytes)::BIGINT AS b FROM device_profile GROUP BY 1) c USING (site_id)",
-        "diff_sections": """WITH d AS (SELECT DISTINCT profile_id, nullif(lower(split_part(trim(hostname), '.', 1)), '') AS host, captured_at, regexp_replace(coalesce(config_text, ''), '\\r', '', 'g') AS txt FROM device_profile),
- p AS (SELECT host, profile_id AS after_id, txt AS aft, lag(txt) OVER o AS bef, lag(profile_id) OVER o AS before_id FROM d WHERE host IS NOT NULL WINDOW o AS (PARTITION BY host ORDER BY captured_at, profile_id)),
- l AS (SELECT host, after_id, unnest(string_split(aft, chr(10))) AS line, 1 AS n FROM p WHERE before_id IS NOT NULL UNION ALL SELECT host, after_id, unnest(string_split(bef, chr(10))), -1 FROM p WHERE before_id IS NOT NULL),
- m AS (SELECT host, after_id, line, sum(n) AS n FROM l GROUP BY ALL HAVING sum(n) <> 0)
- SELECT host, after_id, CASE """ + section + """ ELSE 'other' END AS section, sum(greatest(n, 0))::BIGINT AS added, sum(greatest(-n, 0))::BIGINT AS removed FROM m GROUP BY ALL""",
-    }
+    return config_sql.queries()

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.session import table
-from logloom.operators import facts, segments
-from logloom.plans.config_queries import DEV, _q
+from logloom.functions.session import stored, table
+from logloom.operators import segments
+from logloom.plans import config_sql, fleet
+from logloom.plans.config_sql import _q
 from logloom.plans.log_queries import classified_sql
 from logloom.streaming import events as stream
 
@@ -40,7 +41,7 @@ def host_sessions(spark, sf_dir):
 
 
 def _configs(spark, sf_dir):
-    return facts.latest_configs(table(spark, sf_dir, "device_profile"))
+    return fleet.configs(spark, sf_dir)
 
 
 def vlans(spark, sf_dir):
@@ -51,11 +52,12 @@ def vlan_kinds(spark, sf_dir):
     return segments.merged_vlans(segments.vlans(_configs(spark, sf_dir)))
 
 
+def vlan_kind_counts(spark, sf_dir):
+    return vlan_kinds(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def wan_addresses(spark, sf_dir):
-    configs = _configs(spark, sf_dir)
-    junos = F.col("platform").startswith("jun")
-    own = segments.junos_addresses(configs.where(junos))
-    return segments.wan_addresses(facts.interfaces(configs.where(~junos), braced=False).select("host", "name", "ip", "description").unionByName(own))
+    return segments.wan_of(_configs(spark, sf_dir))
 
 
 def nested_addresses(spark, sf_dir):
@@ -63,11 +65,16 @@ def nested_addresses(spark, sf_dir):
 
 
 def carriers(spark, sf_dir):
-    return segments.carriers(wan_addresses(spark, sf_dir))
+    configs = stored(_configs(spark, sf_dir), "configs")
+    return segments.carriers(segments.wan_of(configs), configs)
+
+
+def tunnels(spark, sf_dir):
+    return segments.tunnels(_configs(spark, sf_dir)).drop("pos")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (stream_severity_counts, stream_windows, window_alerts, host_sessions, vlans, vlan_kinds, nested_addresses, wan_addresses, carriers)}
+    return {f.__name__: f for f in (stream_severity_counts, stream_windows, window_alerts, host_sessions, vlans, vlan_kinds, vlan_kind_counts, nested_addresses, wan_addresses, carriers, tunnels)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -81,9 +88,5 @@ def oracle_sql() -> dict[str, str]:
  b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY hostname ORDER BY t) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM e),
  g AS (SELECT *, sum(fresh) OVER (PARTITION BY hostname ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM b)
  SELECT min(t) AS start, max(t) + 1800000000 AS "end", hostname, count(*) AS n FROM g GROUP BY hostname, k""",
-        "nested_addresses": DEV + """, l AS (SELECT host, unnest(string_split(txt, chr(10))) AS l, unnest(range(len(string_split(txt, chr(10))))) AS pos FROM dev WHERE platform LIKE 'jun%'),
- o AS (SELECT *, nullif(regexp_extract(l, '^\\s*((?:ge|xe|et|ae|eth|reth|fe|me|fxp|st|lo)\\S*)\\s*\\{', 1), '') AS opened, nullif(regexp_extract(l, '^\\s*description\\s+"?([^";\\n]+)"?\\s*;', 1), '') AS d, nullif(regexp_extract(l, 'address\\s+(\\d{1,3}(?:\\.\\d{1,3}){3}(?:/\\d{1,2})?)\\s*;', 1), '') AS ip FROM l),
- s AS (SELECT *, count(opened) OVER w AS blk, sum(len(l) - len(replace(l, '{', '')) - len(l) + len(replace(l, '}', ''))) OVER w AS depth, len(l) - len(replace(l, '{', '')) - len(l) + len(replace(l, '}', '')) AS net FROM o WINDOW w AS (PARTITION BY host ORDER BY pos ROWS UNBOUNDED PRECEDING)),
- t AS (SELECT *, min(depth) OVER (PARTITION BY host, blk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low, first_value(depth - net) OVER (PARTITION BY host, blk ORDER BY pos) AS opened_at, first_value(opened) OVER (PARTITION BY host, blk ORDER BY pos) AS name FROM s WHERE blk > 0)
- SELECT x.host, x.name, x.ip, coalesce((SELECT arg_max(regexp_replace(d, '^\\s+|\\s+$', '', 'g'), pos) FROM t y WHERE y.host = x.host AND y.blk = x.blk AND y.pos <= x.pos AND d IS NOT NULL), '') AS description FROM t x WHERE x.ip IS NOT NULL AND (x.low IS NULL OR x.low > x.opened_at)""",
+        **config_sql.segment_queries(),
     }

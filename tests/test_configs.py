@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+
 from logloom.operators import cascade, compliance, diff, facts, sanitize, segments, topology
 from logloom.sinks import reports
 
@@ -43,7 +45,7 @@ def configs(spark):
 def test_addresses_peers_interfaces(spark):
     c = configs(spark)
     assert sorted((r["host"], r["cidr"]) for r in facts.addresses(c).collect()) == [("s-fw-01", "8.8.8.8/30"), ("s-fw-01", "9.9.9.9/32"), ("s-sw-01", "10.0.0.1/31"), ("s-sw-01", "10.1.10.1/24"), ("s-sw-02", "10.0.0.0/31"), ("s-sw-02", "10.5.5.2/30")]
-    assert [tuple(r) for r in facts.bgp_peers(c).collect()] == [("s-sw-01", "10.0.0.0", 65003)]
+    assert [tuple(r) for r in facts.bgp_peers(c).select("host", "ip", "asn").collect()] == [("s-sw-01", "10.0.0.0", 65003)]
     got = {(r["host"], r["name"]): (r["ip"], r["description"], r["speed"]) for r in facts.interfaces(c).collect()}
     assert got["s-sw-01", "Ethernet1"] == ("10.0.0.1/31", "to s-sw-02 port 1", "10G") and got["s-sw-01", "Vlan10"] == ("10.1.10.1/24", "", "")
 
@@ -52,7 +54,7 @@ def test_interfaces_of_set_lines_and_braced_blocks(spark):
     lines = 'set interfaces et-0/0/1 unit 0 family inet address 10.7.0.1/31\nset interfaces et-0/0/1 unit 1 family inet address 10.7.0.3/31\nset interfaces et-0/0/1 description "to s-sw-01"\nset interfaces et-0/0/1 unit 0 description later\nset interfaces et-0/0/1 gigether-options speed 100g\nset interfaces xe-0/0/2 description spare\n'
     srl = 'interface ethernet-1/1 {\n    description "to spine"\n    port-speed 25G\n    ip ospf area 0.0.0.1\n    ip ospf hello-interval 5\n    ip ospf dead-interval 20\n    ip ospf cost 77\n    ip ospf network point-to-point\n    subinterface 0 {\n        ipv4 {\n            address 10.8.0.1/31 {\n            }\n        }\n    }\n}\ninterface system0 {\n    subinterface 0 {\n        ipv4 { address 10.8.9.9/32 { } }\n    }\n}\n'
     c = spark.createDataFrame([("j", "s", "junos-ex", "", lines), ("o", "s", "eos", "", lines), ("n", "s", "srl", "", srl)], SCHEMA)
-    got = {(r["host"], r["name"]): tuple(r)[2:] for r in facts.interfaces(c).collect()}
+    got = {(r["host"], r["name"]): tuple(r)[3:] for r in facts.interfaces(c).collect()}
     assert got == {
         ("j", "et-0/0/1"): ("10.7.0.1/31", "to s-sw-01", "100G", None, None, None, None, None), ("j", "xe-0/0/2"): ("", "spare", "10G", None, None, None, None, None),
         ("n", "ethernet-1/1"): ("10.8.0.1/31", "to spine", "25G", "0.0.0.1", 5, 20, 77, "point-to-point"), ("n", "system0"): ("10.8.9.9/32", "", "", None, None, None, None, None),
@@ -72,20 +74,102 @@ def test_wide_and_named(spark):
 
 def test_links(spark):
     c = configs(spark)
-    at = facts.addresses(c)
-    named = topology.by_description(facts.descriptions(c), c.select("host"))
-    peers = topology.by_address(facts.bgp_peers(c), at, "bgp-neighbor")
-    mlag = topology.by_address(spark.createDataFrame([("s-sw-01", "10.5.5.2")], "host string, ip string"), at, "mlag-peer")
-    pairs = topology.ha_pairs(facts.wide(c))
-    found = named.unionByName(peers).unionByName(mlag).unionByName(topology.by_subnet(at)).unionByName(pairs)
+    nodes = facts.nodes(c)
+    found = topology.candidates(nodes)
     best = {(r["source"], r["target"]): (r["rule"], r["n_rules"]) for r in topology.best(found).collect()}
     assert best == {("s-sw-01", "s-sw-02"): ("mlag-peer", 4), ("s-fw-01", "s-fw-02"): ("ha-pair-naming", 1)}
     assert "s_sw_01 ---|mlag-peer| s_sw_02" in reports.mermaid(topology.best(found)) and '"s-sw-01" -- "s-sw-02"' in reports.graphviz(topology.best(found))
+    apart = topology.candidates(facts.nodes(c.withColumn("site_id", c["host"])))
+    assert apart.collect() == []
+
+
+A = """router bgp 65001
+   neighbor 10.0.0.0 remote-as 65002
+   address-family evpn
+router ospf 1
+   router-id 10.9.9.1
+interface Ethernet1
+   description to b
+   ip address 10.0.0.1/31
+   speed 10000
+interface Ethernet2
+   ip address 10.0.0.1/29
+interface Loopback1
+   ip address 10.8.0.1/32
+vxlan source-interface loopback1
+vxlan vlan 1 vni 10010
+"""
+B = """interface ethernet-1/1 {
+    port-speed 1G
+    ip ospf area 0.0.0.7
+    ip ospf cost 9
+    subinterface 0 {
+        ipv4 {
+            address 10.0.0.0/31 {
+            }
+        }
+    }
+}
+interface system0 {
+    ipv4 {
+        address 10.8.0.2/32
+    }
+}
+protocols ospf
+autonomous-system 65002
+afi-safi evpn
+vxlan vni 50001
+"""
+
+
+def test_what_links_carry(spark):
+    """Both directions of one pair: the end with the lesser name is the source."""
+    sites = spark.createDataFrame([("s", " 40G "), ("t", None)], "site_id string, default_link_speed string")
+    for one, two in ((A, B), (B, A)):
+        c = spark.createDataFrame([("a", "s", "eos" if one == A else "srl", "", one), ("b", "s", "srl" if two == B else "eos", "", two)], SCHEMA)
+        nodes = facts.nodes(c)
+        edges = topology.best(topology.candidates(nodes))
+        (e,) = [r for r in topology.detail(edges, nodes, sites).collect()]
+        assert (e["source"], e["target"], e["subnet"], e["bgp_type"], e["speed"], e["layers"], list(e["families"])) == ("a", "b", "10.0.0.0/31", "ebgp", "1G", ["physical", "bgp", "ospf", "vxlan"], ["l2vpn-evpn"])
+        ends = {"eos": ("Ethernet1", "10.0.0.1/31", "10G", 65001, "10.9.9.1", "10.8.0.1"), "srl": ("ethernet-1/1", "10.0.0.0/31", "1G", 65002, "10.8.0.2", "10.8.0.2")}
+        for name, platform in (("src", "eos" if one == A else "srl"), ("dst", "srl" if one == A else "eos")):
+            assert tuple(e[f"{name}_{k}"] for k in ("iface", "ip", "speed", "asn", "router_id", "vtep")) == ends[platform]
+        assert (list(e["l2_vnis"]), list(e["l3_vnis"]), e["ospf_area"], e["ospf_cost"]) == ([10010], [50001], "" if one == A else "0.0.0.7", None if one == A else 9)
+        assert (e["src_bgp_ip"], e["dst_bgp_ip"]) == (("10.0.0.0", "") if one == A else ("", "10.0.0.0"))
+        assert {r["layer"]: r["n_edges"] for r in topology.layer_counts(topology.detail(edges, nodes, sites)).collect()} == dict.fromkeys(topology.LAYERS, 1)
+    bare = spark.createDataFrame([("x-fw-01a", "s", "junos", "", "chassis cluster"), ("x-fw-01b", "s", "junos", "", "")], SCHEMA)
+    (e,) = topology.detail(topology.best(topology.candidates(facts.nodes(bare))), facts.nodes(bare), sites).collect()
+    assert (e["kind"], e["speed"], e["src_speed"], e["subnet"], e["layers"]) == ("ha", "40G", "40G", "", ["physical"])
+    assert topology.detail(topology.best(topology.candidates(facts.nodes(bare.limit(0)))), facts.nodes(bare.limit(0)), sites).collect() == []
+
+
+def test_speeds(spark):
+    df = spark.createDataFrame([("100G", "10G"), ("", "1G"), ("100M", ""), ("", ""), ("x", "1G")], "a string, b string")
+    assert [r[0] for r in df.select(topology.link_speed(df["a"], df["b"])).collect()] == ["10G", "1G", "100M", "", "x"]
+
+
+def test_flags_and_findings_of_nodes(spark):
+    c = spark.createDataFrame([("east-1-fw-02", "s", "eos", "", "router bgp 1\nneighbor 1.1.1.1\n description \"Telia attached\";\n"), ("b", "s", "", "", "EVPN and vni 7")], SCHEMA)
+    inventory = spark.createDataFrame([("EAST-1-FW-02.x", None, "FW", "P1", "R1", 77), ("b", "Spine", "sw", None, None, 88)], "hostname string, role string, function_code string, pop string, rack string, asn bigint")
+    got = {r["host"]: r for r in topology.described_nodes(facts.nodes(c), inventory).collect()}
+    a, b = got["east-1-fw-02"], got["b"]
+    assert (a["role"], a["has_bgp"], a["has_ospf"], a["isp_uplink"], a["tier"], a["pop"], a["asn"]) == ("firewall", True, False, True, "fw", "p1", 1)
+    assert (b["role"], b["has_evpn"], b["has_vxlan"], b["isp_uplink"], b["tier"], b["rack"], b["asn"]) == ("unknown", True, True, False, "spine", "", 88)
+    findings = spark.createDataFrame([("low", ["B", "x"]), (" HIGH", ["b.y"]), ("critical", None), ("odd", ["east-1-fw-02"]), (None, ["b"])], "severity string, devices array<string>")
+    assert {r["host"]: r["severity"] for r in topology.overlay(c, findings).collect()} == {"east-1-fw-02": "", "b": "high"}
+
+
+def test_numbers_of_overlays(spark):
+    frr = "interface vxlan10\n vni 10\ninterface x\n vni 11\nvrf T\n vni 49000\nexit-vrf\nvxlan vni 60000\nvxlan vni 60000\n"
+    c = spark.createDataFrame([("f", "s", "frr", "", frr), ("e", "s", "eos", "", frr)], SCHEMA)
+    got = {r["host"]: (list(r["v"]["l2"]), list(r["v"]["l3"])) for r in c.select("host", facts.vnis().alias("v")).collect()}
+    assert got == {"f": ([10], [60000, 49000]), "e": ([], [60000])}
+    assert c.select(facts.platform_guess(c["text"])).first()[0] == "unknown"
 
 
 def test_short_names(spark):
-    hosts = spark.createDataFrame([("east-sw-03",), ("east-sw-04",)], "host string")
-    d = spark.createDataFrame([("east-sw-04", "link SW-03 x"), ("east-sw-03", "to EAST-SW-04")], "host string, description string")
+    hosts = spark.createDataFrame([("east-sw-03", "s"), ("east-sw-04", "s")], "host string, site_id string")
+    d = spark.createDataFrame([("east-sw-04", "s", "link SW-03 x"), ("east-sw-03", "s", "to EAST-SW-04")], "host string, site_id string, description string")
     assert sorted(r["rule"] for r in topology.by_description(d, hosts).collect()) == ["description-hostname", "description-shortform"]
 
 
@@ -93,7 +177,18 @@ def test_rules_and_search(spark):
     checks = {(r["device"], r["rule_id"]): (r["passed"], r["reason"]) for r in compliance.check(configs(spark)).collect()}
     assert checks["s-sw-01", "syslog-min-1-remote"] == (True, "ok") and not checks["s-sw-02", "ntp-min-2-servers"][0]
     assert ("s-sw-02", "bgp-md5-auth") not in checks and ("x-rt-9", "no-telnet") not in checks
-    assert [tuple(r) for r in compliance.search_fleet(configs(spark), "NTP server").collect()] == [("s-sw-01", "eos", 3)]
+    (hit,) = compliance.search_fleet(configs(spark), "NTP server").collect()
+    assert tuple(hit)[:3] == ("s-sw-01", "eos", 3)
+    at = EOS.index("ntp server")
+    assert hit["snippets"][0] == EOS[at - 40 : at + 50].replace("\n", " ⏎ ") and len(hit["snippets"]) == 3
+    edge = spark.createDataFrame([("h", "s", "eos", "", "é1x2x3x4x5x6x"), ("k", "s", "eos", "", "X")], SCHEMA)
+    assert {r["device"]: (r["match_count"], list(r["snippets"])) for r in compliance.search_fleet(edge, "[0-9]x", around=1).collect()} == {"h": (6, ["é1x2", "x2x3", "x3x4", "x4x5", "x5x6"])}
+    assert compliance.search_fleet(edge, "x", case_insensitive=False).count() == 1
+    for bad in ("(", "a*"):
+        with pytest.raises(compliance.PatternError):
+            compliance.search_fleet(edge, bad)
+    failing = {r["rule_id"]: [f["device"] for f in r["failing"]] for r in compliance.rollup(compliance.check(configs(spark))).collect()}
+    assert failing["ntp-min-2-servers"] == ["s-fw-01", "s-fw-02", "s-sw-02"]
     found = spark.createDataFrame([(1, "see 'no lldp run' there"), (2, "x\n ntp server 1"), (3, "at 10.0.0.1 now"), (4, "port ge-0/0/1"), (5, None)], "id int, evidence string")
     assert [r["fingerprint"] for r in compliance.fingerprint(found).orderBy("id").collect()] == ["no lldp run", "ntp server 1", "10.0.0.1", "ge-0/0/1", None]
     t = compliance.totals(compliance.check(configs(spark).where("host = 'none'"))).collect()[0]
@@ -121,7 +216,37 @@ def test_segments(spark):
     nested = segments.scoped_addresses(configs(spark).where("platform = 'junos'"))
     assert [tuple(r) for r in nested.collect()] == [("s-fw-01", "ge-0/0/1", "8.8.8.8/30", "Cogent uplink")]
     wan = segments.wan_addresses(nested)
-    assert [r["carrier"] for r in wan.collect()] == ["Cogent"] and segments.carriers(wan).collect()[0]["shutdown"] is False
+    assert [r["carrier"] for r in wan.collect()] == ["Cogent"] and tuple(segments.carriers(wan, configs(spark)).collect()[0]) == ("Cogent", 1, 1, "", False)
+    text = FW + 'description "Cogent peer"; x; peer-as 174;\ndeactivate interfaces ge-0/0/1\nst0.3 {\n description "hub"; address 10.3.3.3/30; }\n'
+    more = spark.createDataFrame([("s-fw-01", "s", "junos", "fw", text)], SCHEMA)
+    assert tuple(segments.carriers(wan, more).collect()[0]) == ("Cogent", 1, 1, "174", True)
+    assert [tuple(r) for r in segments.tunnels(more).collect()] == [("s-fw-01", 0, "st0.3", "10.3.3.3/30", "hub")]
+
+
+def test_kinds_of_vlans(spark):
+    rows = [("a", 5, "x", ["10.9.0.1/24", "10.245.207.1/24"]), ("a", 6, "STOR-1", ["192.168.1.1/24"]), ("a", 63, "y", []), ("b", 4001, "", []), ("b", 7, "z", [])]
+    df = spark.createDataFrame(rows, "host string, vlan_id int, name string, subnets array<string>")
+    assert {r["vlan_id"]: r["kind"] for r in segments.merged_vlans(df).collect()} == {5: "IPMI/BMC", 6: "Storage", 63: "Production/Access", 4001: "Infrastructure", 7: "Other"}
+
+
+def test_roles_in_order(spark):
+    rows = [("s-fw-02", "s", "", "", "chassis cluster"), ("s-fw-01", "s", "", "", ""), ("s-fw-03", "s", "", "", ""), ("t-fw-09", "t", "", "", ""), ("s-rt-01", "s", "", "", ""), ("s-sw-01", "s", "", "", "neighbor 1.1.1.1 remote-as 2\n"), ("s-sw-02", "s", "", "", "vni 7"), ("s-sw-03", "s", "", "", "neighbor 1.1.1.1 { peer-as 2; }\ndescription google;\n"), ("x", "s", "", "", "")]
+    got = {r["host"]: r["description"] for r in facts.role_descriptions(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {"s-fw-01": "Primary Firewall", "s-fw-02": "Secondary Firewall (HA chassis-cluster)", "s-fw-03": "Firewall #3", "t-fw-09": "Primary Firewall", "s-rt-01": "Primary Edge Router", "s-sw-01": "Core switch", "s-sw-02": "EVPN-VXLAN fabric leaf", "s-sw-03": "ISP-edge / Core switch", "x": "Unclassified network device"}
+
+
+def test_names_are_masked(spark):
+    text = 'user jane.doe { uid 1; }\nusername Jane.Doe privilege 15\nkey <REDACTED-SSH-KEY> jane@x\nset login full-name "Jane Doe"\n'
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    rows = {r["id"]: r for r in sanitize.mask_names(df).collect()}
+    lines = rows[1]["text"].split("\n")
+    token = lines[0].split()[1]
+    assert token.startswith("user-") and lines[1].split()[1] == token and lines[2] == "key <REDACTED-SSH-KEY>" and lines[3].endswith('full-name "<REDACTED-NAME>"') and rows[1]["n"] == 4
+    assert (rows[2]["text"], rows[2]["n"], rows[3]["text"]) == (None, 0, "")
+    whole = {r["id"]: r for r in sanitize.sanitize_all(spark.createDataFrame([(1, text + 'secret "$9$abc" at 8.8.8.8\n')], "id int, text string"), mask_pii=True).collect()}
+    assert whole[1]["n"] >= 6 and "8.8.8.8" not in whole[1]["text"] and "jane" not in whole[1]["text"].lower() and "abc" not in whole[1]["text"]
+    plain = sanitize.sanitize_all(spark.createDataFrame([(1, text)], "id int, text string")).first()
+    assert "jane.doe" in plain["text"]
 
 
 def test_addresses_of_set_lines_and_of_the_block_around(spark):
