@@ -20,12 +20,37 @@ def host_of_file(path: Column) -> Column:
     return F.when(found != "", found).otherwise(stem)
 
 
-def read_lines(spark: SparkSession, path: str, pattern: str = "*.log", recursive: bool = True, default_host: str = "") -> DataFrame:
-    """stream, seq, line, default_host of the text files at path.
+def listing(spark: SparkSession, path: str, pattern: str = "*.log", recursive: bool = True) -> DataFrame:
+    """path, length of the files below a folder that fit the pattern; ValueError where there's no such folder. Contents aren't read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
+        raise ValueError(f"not a folder: {path}")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return found.select("path", "length")
+
+
+def count_files(spark: SparkSession, path: str, pattern: str = "*.log", recursive: bool = True) -> int:
+    return listing(spark, path, pattern, recursive).count()
+
+
+def text_lines(spark: SparkSession, text: str, default_host: str = "") -> DataFrame:
+    """stream, seq, line, default_host of a text at hand."""
+    one = spark.createDataFrame([(text,)], "text string")
+    return one.select(F.lit("").alias("stream"), F.posexplode(F.split("text", r"\r?\n")).alias("seq", "line")).select("stream", F.col("seq").cast("bigint").alias("seq"), "line", F.lit(default_host).alias("default_host"))
+
+
+def read_lines(spark: SparkSession, path: str, pattern: str = "*.log", recursive: bool = True, default_host: str = "", max_files: int = 0) -> DataFrame:
+    """stream, seq, line, default_host of the text files at path, with max_files of the first so many by path.
 
     A file is a stream. seq is the line's number in a split of its file, above the start of the split, so it grows along a
     file as long as files are read in order; compressed files are one split."""
-    df = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).text(path)
+    paths: str | list[str] = path
+    if max_files:
+        paths = [r["path"] for r in listing(spark, path, pattern, recursive).orderBy("path").limit(max_files).collect()]
+        if not paths:
+            return spark.createDataFrame([], "stream string, seq bigint, line string, default_host string")
+    df = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).text(paths)
     at = df.select(F.col("_metadata.file_path").alias("stream"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
     own = F.lit(default_host) if default_host else host_of_file(F.col("stream"))
     return at.select("stream", (F.col("start") * 1024 + F.col("n") % (1 << 33)).alias("seq"), "line", own.alias("default_host"))
@@ -63,6 +88,16 @@ class Sources:
         """Ids and options, without what signs in."""
         return [{"id": i, **{k: v for k, v in o.items() if k not in self.SECRET}} for i, o in sorted(self._known.items())]
 
+    def health(self) -> dict[str, tuple[bool, str]]:
+        """Of each source, whether its service answers."""
+        from logloom.sources import rest
+
+        return {i: rest.health(o["kind"], o) if o["kind"] in rest.KINDS else (True, "not asked") for i, o in sorted(self._known.items())}
+
+    def close(self) -> None:
+        """Forget all sources and what signs in to them."""
+        self._known.clear()
+
     def read(self, spark: SparkSession, source_id: str, **more: str) -> DataFrame:
         options = {**self._known[source_id], **more}
         return spark.read.format(f"log_{options.pop('kind')}").options(**options).load()

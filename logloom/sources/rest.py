@@ -1,19 +1,23 @@
-"""Search services as Spark data sources: a query goes out with time range, host and limit, pages come back as LogEvent rows.
+"""Search services as Spark data sources: queries go out with time range and host, LogEvent rows come back.
 
 `register(spark)` makes the formats `log_elastic`, `log_splunk`, `log_loki` and `log_librenms` known; options are url, host,
-since_seconds, limit, partitions and the credentials token, user and password, cookie. The time range is cut into
-`partitions` slices, each fetched by a task of its own, so a pull isn't bound to one machine."""
+since_seconds, until, limit, partitions and the credentials token, user and password, cookie. The time range is cut into
+`partitions` slices, each fetched by a task of its own, so a pull isn't bound to one machine. An answer holds so many rows at
+most; a slice whose answer is full is asked for again in halves, the newer one first, so that no row is lost, and a moment
+that can't be halved any more is an error. `limit` is the number of rows wanted of a slice at most, all of them by default.
+A filter hostname = x goes to the services that look for it in the same field."""
 
 from __future__ import annotations
 
 import base64
 import json
 import time
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 SCHEMA = "timestamp string, hostname string, appname string, severity_raw string, message string"
 #: Rows that one answer holds at most, by service.
@@ -66,10 +70,10 @@ def pick(document: dict, column: str, default: str = "") -> str:
 
 
 def elastic_request(o: dict, low: int, high: int) -> tuple[str, dict, bytes]:
-    must: list[dict] = [{"range": {"@timestamp": {"gte": low * 1000, "lt": high * 1000, "format": "epoch_millis"}}}]
+    must: list[dict] = [{"range": {"@timestamp": {"gte": low, "lt": high, "format": "epoch_millis"}}}]
     if o.get("host"):
         must.append({"bool": {"should": [{"match_phrase": {f: o["host"]}} for f in ("host.name", "hostname", "host")], "minimum_should_match": 1}})
-    query = {"size": o["limit"], "sort": [{"@timestamp": "desc"}], "query": {"bool": {"must": must}}}
+    query = {"size": o["page"], "sort": [{"@timestamp": "desc"}], "query": {"bool": {"must": must}}}
     return f"{o['url']}/{o.get('index', '*')}/_search", credentials(o, scheme=o.get("scheme", "Bearer")) | {"Content-Type": "application/json"}, json.dumps(query).encode()
 
 
@@ -82,7 +86,7 @@ def elastic_rows(answer: dict) -> Iterator[tuple]:
 
 def splunk_request(o: dict, low: int, high: int) -> tuple[str, dict, bytes]:
     search = o.get("search", "search *") + (f' host="{o["host"]}"' if o.get("host") else "")
-    form = {"search": search, "earliest_time": low, "latest_time": high, "count": o["limit"], "output_mode": "json", "exec_mode": "oneshot"}
+    form = {"search": search, "earliest_time": low / 1000, "latest_time": high / 1000, "count": o["page"], "output_mode": "json", "exec_mode": "oneshot"}
     return f"{o['url']}/services/search/jobs", credentials(o), urllib.parse.urlencode(form).encode()
 
 
@@ -94,7 +98,7 @@ def splunk_rows(answer: dict) -> Iterator[tuple]:
 
 def loki_request(o: dict, low: int, high: int) -> tuple[str, dict, None]:
     query = o.get("query", '{job=~".+"}') + (f' |= "{o["host"]}"' if o.get("host") else "")
-    form = {"query": query, "start": low * 10**9, "end": high * 10**9, "limit": o["limit"], "direction": "backward"}
+    form = {"query": query, "start": low * 10**6, "end": high * 10**6, "limit": o["page"], "direction": "backward"}
     return f"{o['url']}/loki/api/v1/query_range?{urllib.parse.urlencode(form)}", credentials(o) if any(o.get(k) for k in ("token", "user", "cookie")) else {}, None
 
 
@@ -110,7 +114,7 @@ def librenms_request(o: dict, low: int, high: int) -> tuple[str, dict, None]:
     if not o.get("token"):
         raise SourceError("a token is needed")
     stamp = lambda t: time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime(t))
-    form = urllib.parse.urlencode({"from": stamp(low), "to": stamp(high), "limit": o["limit"]})
+    form = urllib.parse.urlencode({"from": stamp(low // 1000), "to": stamp(high // 1000 - 1), "limit": o["page"]})  # both ends count
     host = "/" + urllib.parse.quote(o["host"], safe="") if o.get("host") else ""
     return f"{o['url']}/api/v0/logs/eventlog{host}?{form}", {"X-Auth-Token": o["token"]}, None
 
@@ -124,7 +128,15 @@ def librenms_rows(answer: dict) -> Iterator[tuple]:
 KINDS: dict[str, tuple[Callable, Callable]] = {"elastic": (elastic_request, elastic_rows), "splunk": (splunk_request, splunk_rows), "loki": (loki_request, loki_rows), "librenms": (librenms_request, librenms_rows)}
 
 
+#: Milliseconds that a service tells apart; services that look for a host in its own field; where a service tells how it is.
+FINEST = {"elastic": 1, "splunk": 1, "loki": 1, "librenms": 1000}
+BY_FIELD = ("elastic", "splunk", "librenms")
+HEALTH = {"elastic": "/_cluster/health", "splunk": "/services/server/info", "loki": "/ready", "librenms": "/api/v0"}
+
+
 class Slice(InputPartition):
+    """A range of time in milliseconds, its end excluded."""
+
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
 
@@ -134,19 +146,71 @@ class Reader(DataSourceReader):
         if not options.get("url"):
             raise SourceError("option url is needed")
         self.kind, self.options = kind, {**options, "url": options["url"].rstrip("/")}
-        self.options["limit"] = min(int(options.get("limit", MOST[kind])), MOST[kind])
+        self.limit = int(options["limit"]) if options.get("limit") else None
+        self.options["page"] = min(self.limit or MOST[kind], MOST[kind])
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Take hostname = x along where the service knows it; Spark tests every row again."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("hostname",) and self.kind in BY_FIELD and not self.options.get("host"):
+                self.options["host"] = str(f.value)
+            yield f
 
     def partitions(self) -> list[Slice]:
         end = int(self.options.get("until", time.time()))
         begin = end - int(self.options.get("since_seconds", 3600))
         n = max(1, int(self.options.get("partitions", 1)))
-        cuts = [begin + (end - begin) * i // n for i in range(n + 1)]
+        cuts = [1000 * (begin + (end - begin) * i // n) for i in range(n + 1)]
         return [Slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        ask, rows = KINDS[self.kind]
-        url, headers, body = ask(self.options, partition.low, partition.high)
-        yield from rows(fetch_json(url, headers, body, float(self.options.get("timeout", 30))))
+        left, (ask, rows), page = self.limit, KINDS[self.kind], self.options["page"]
+        todo = [(partition.low, partition.high)]
+        while todo and (left is None or left > 0):
+            low, high = todo.pop()
+            if low >= high:
+                continue
+            url, headers, body = ask(self.options, low, high)
+            answer = fetch_json(url, headers, body, float(self.options.get("timeout", 30)))
+            if held(self.kind, answer) >= page and (left is None or left > page):
+                middle = (low + high) // 2 // FINEST[self.kind] * FINEST[self.kind]
+                if not low < middle < high:
+                    raise SourceError(f"{self.kind}: more than {page} rows within {high - low} ms")
+                todo += [(low, middle), (middle, high)]
+                continue
+            for row in rows(answer):
+                if left is not None:
+                    if not left:
+                        return
+                    left -= 1
+                yield row
+
+
+def held(kind: str, answer: dict) -> int:
+    """Rows of an answer, those without a message too."""
+    if kind == "loki":
+        return sum(len(s.get("values") or []) for s in (answer.get("data") or {}).get("result") or [])
+    return len({"elastic": lambda: (answer.get("hits") or {}).get("hits"), "splunk": lambda: answer.get("results"), "librenms": lambda: answer.get("logs")}[kind]() or [])
+
+
+def health(kind: str, options: dict) -> tuple[bool, str]:
+    """Whether a service answers as one that can be asked, and what it said."""
+    try:
+        url, headers, _ = KINDS[kind][0]({**options, "url": options["url"].rstrip("/"), "page": 1}, 0, 1000)
+        request = urllib.request.Request(options["url"].rstrip("/") + HEALTH[kind] + ("?output_mode=json" if kind == "splunk" else ""), None, {k: v for k, v in headers.items() if k != "Content-Type"})
+        with urllib.request.urlopen(request, timeout=float(options.get("timeout", 10))) as answer:
+            text = answer.read(65_536).decode("utf-8", "replace")
+    except urllib.error.HTTPError as error:
+        return kind == "loki" and error.code == 503, f"status {error.code}"
+    except (OSError, ValueError, KeyError, SourceError) as error:
+        return False, str(error)
+    if kind == "elastic":
+        try:
+            status = str(json.loads(text).get("status"))
+        except ValueError:
+            return False, "no JSON"
+        return status in ("green", "yellow"), status
+    return True, "ok"
 
 
 def _source(kind: str) -> type[DataSource]:
