@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes, written out as JSON, up to which a stored dimension is hinted for broadcast; above them the join shuffles.
@@ -79,6 +79,13 @@ def sized(dim: DataFrame, label: str = "dimension", most: int = BROADCAST_BYTES)
     return F.broadcast(own) if (own.agg(F.sum(width)).first()[0] or 0) <= most else own
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that are evaluated once, however often later steps name them.
+
+    They come out of a generator, which projections and filters above it aren't merged with."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def ranked(df: DataFrame, order: list, out: str) -> DataFrame:
     """df with out: 1, 2, ... in the order of all rows, sorted in ranges by many tasks; ties get any order.
 

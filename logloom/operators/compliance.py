@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import config_rules as R
 from logloom.functions.hosts import BLANKS
+from logloom.operators.events import PatternError, checked
 
 
 def check(configs: DataFrame, rules: tuple = R.COMPLIANCE) -> DataFrame:
@@ -54,19 +55,11 @@ def totals(checks: DataFrame) -> DataFrame:
     return t.select("total", "passed", (F.col("total") - F.col("passed")).alias("failed"), F.when(F.col("total") > 0, F.floor(1000 * F.col("passed") / F.col("total"))).otherwise(F.lit(0)).cast("bigint").alias("per_mille"))
 
 
-class PatternError(ValueError):
-    """A pattern that can't be searched for."""
-
-
 def compiled(pattern: str) -> str:
     """The pattern as it is searched for: plain words literally. One that is no pattern, or that finds nothing everywhere, is an error."""
     if not re.search(r"[\\.*+?^$\[\](){}|]", pattern):
         return re.escape(pattern)
-    try:
-        empty = re.search(pattern, "")
-    except re.error as error:
-        raise PatternError(f"invalid regex: {error}") from error
-    if empty:
+    if re.search(checked(pattern), ""):
         raise PatternError("invalid regex: it matches the empty text")
     return pattern
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import config_rules as R
 from logloom.functions.hosts import host
+from logloom.functions.session import once
 from logloom.operators.events import strip
 from logloom.operators.sanitize import ip_number
 
@@ -62,7 +63,9 @@ def network(cidr: Column) -> Column:
 
 def addresses(configs: DataFrame) -> DataFrame:
     """host, pos, cidr, ip_num, net_num, length of every address of cidrs(); site_id too where configs has it."""
-    nets = F.col("nets") if "nets" in configs.columns else F.transform(cidrs(), network)
+    if "nets" not in configs.columns:
+        configs = once(configs, cidrs=cidrs()).withColumn("nets", F.transform("cidrs", network))
+    nets = F.col("nets")
     return configs.select("host", *_site(configs), F.posexplode(nets).alias("pos", "n")).select("host", *_site(configs), "pos", "n.*")
 
 
@@ -82,9 +85,9 @@ def peer_asns() -> Column:
 
 def bgp_peers(configs: DataFrame) -> DataFrame:
     """host, ip of every distinct neighbour, asn where one is configured; the last assignment counts."""
-    stored_ = "peers" in configs.columns
-    ips, asns = (F.col("peers"), F.col("peer_asns")) if stored_ else (peer_ips(), peer_asns())
-    rows = configs.select("host", *_site(configs), asns.alias("asns"), F.explode(ips).alias("ip"))
+    if "peers" not in configs.columns:
+        configs = once(configs, peers=peer_ips(), peer_asns=peer_asns())
+    rows = configs.select("host", *_site(configs), F.col("peer_asns").alias("asns"), F.explode("peers").alias("ip"))
     return rows.select("host", *_site(configs), "ip", F.try_element_at(F.filter("asns", lambda x: x["ip"] == F.col("ip")), F.lit(1))["asn"].alias("asn"))
 
 
@@ -166,15 +169,17 @@ def families(configs: DataFrame) -> DataFrame:
     return configs.select("host", family_names().alias("families"))
 
 
-def vnis() -> Column:
-    """(l2 ARRAY, l3 ARRAY) of network ids by first appearance: layer 3 from 50000 on, and those of routing instances of frr."""
+def with_vnis(configs: DataFrame) -> DataFrame:
+    """configs with l2_vnis, l3_vnis: network ids by first appearance, layer 3 from 50000 on, and those of routing instances of frr."""
     number = lambda xs: F.transform(xs, lambda x: x.cast("bigint"))
     frr = F.col("platform") == "frr"
     inner = lambda bodies: number(F.flatten(F.transform(bodies, lambda x: F.regexp_extract_all(x["body"], F.lit(R.BODY_VNI), F.lit(1)))))
-    blocks = F.filter(_zipped(R.INTERFACE_BLOCK, "name", "body"), lambda x: F.lower(x["name"]).startswith("vxlan") & frr)
-    plain = F.array_distinct(F.concat(*[number(all_of(p)) for p in R.VNI], inner(blocks)))
-    bound = F.filter(inner(F.filter(_zipped(R.VRF_BLOCK, "name", "body"), lambda _: frr)), lambda v: ~F.array_contains(plain, v))
-    return F.struct(F.filter(plain, lambda v: v < 50_000).alias("l2"), F.array_distinct(F.concat(F.filter(plain, lambda v: v >= 50_000), bound)).alias("l3"))
+    none = F.array().cast("array<bigint>")
+    blocks = F.when(frr, inner(F.filter(_zipped(R.INTERFACE_BLOCK, "name", "body"), lambda x: F.lower(x["name"]).startswith("vxlan")))).otherwise(none)
+    bound = F.when(frr, inner(_zipped(R.VRF_BLOCK, "name", "body"))).otherwise(none)
+    rows = once(configs, _plain=F.array_distinct(F.concat(*[number(all_of(p)) for p in R.VNI], blocks)), _bound=bound)
+    more = F.filter("_bound", lambda v: ~F.array_contains("_plain", v))
+    return rows.withColumns({"l2_vnis": F.filter("_plain", lambda v: v < 50_000), "l3_vnis": F.array_distinct(F.concat(F.filter("_plain", lambda v: v >= 50_000), more))}).drop("_plain", "_bound")
 
 
 def has_word(text: Column, words: tuple[str, ...]) -> Column:
@@ -207,9 +212,9 @@ def nodes(configs: DataFrame) -> DataFrame:
     interface, else, where EVPN is advertised, of the first loopback that has one."""
     words = [has_word(F.col("text"), w).alias(f"has_{n}") for n, w in R.NODE_WORDS]
     uplink = F.exists(all_of(R.UPLINK_DESCRIPTION), lambda d: has_word(d, R.UPLINK_WORDS))
-    own = configs.select(
-        "host", "site_id", "platform", "function", F.col("text").rlike(dict(R.FLAGS)["cluster"]).alias("cluster"), F.transform(cidrs(), network).alias("nets"), peer_ips().alias("peers"), peer_asns().alias("peer_asns"), distinct_valid(all_of(R.MLAG_PEER)).alias("mlag"), all_of(R.DESCRIPTION).alias("described"),
-        family_names().alias("families"), F.nullif(first_of(*R.LOCAL_AS), F.lit("")).cast("bigint").alias("local_asn"), first_of(*R.ROUTER_ID).alias("ospf_id"), first_of(*R.VTEP_SOURCE).alias("source"), F.col("text").rlike(R.ADVERTISED).alias("advertised"), vnis().alias("v"), *words, uplink.alias("isp_uplink"),
+    own = once(with_vnis(configs), cidrs=cidrs()).select(
+        "host", "site_id", "platform", "function", F.col("text").rlike(dict(R.FLAGS)["cluster"]).alias("cluster"), F.transform("cidrs", network).alias("nets"), peer_ips().alias("peers"), peer_asns().alias("peer_asns"), distinct_valid(all_of(R.MLAG_PEER)).alias("mlag"), all_of(R.DESCRIPTION).alias("described"),
+        family_names().alias("families"), F.nullif(first_of(*R.LOCAL_AS), F.lit("")).cast("bigint").alias("local_asn"), first_of(*R.ROUTER_ID).alias("ospf_id"), first_of(*R.VTEP_SOURCE).alias("source"), F.col("text").rlike(R.ADVERTISED).alias("advertised"), "l2_vnis", "l3_vnis", *words, uplink.alias("isp_uplink"),
     )
     rows = interfaces(configs).withColumn("ip_num", ip_number(F.substring_index("ip", "/", 1)))
     entry = ["pos", "name", "ip", "ip_num", "description", "speed", *[c for c in rows.columns if c.startswith("ospf_")]]
@@ -226,7 +231,7 @@ def nodes(configs: DataFrame) -> DataFrame:
     both = both.withColumns({"direct": direct, "implied": F.when(direct.isNull() & F.col("advertised"), loop)})
     return both.select(
         "host", "site_id", "platform", "function", "cluster", "nets", "peers", "peer_asns", "mlag", "described", "families", "local_asn", F.coalesce(F.nullif("ospf_id", F.lit("")), alone, F.lit("")).alias("router_id"), F.coalesce(F.nullif("source", F.lit("")), F.col("implied.name"), F.lit("")).alias("vtep_source"),
-        F.coalesce("direct", plain(F.col("implied")), F.lit("")).alias("vtep_ip"), F.col("v.l2").alias("l2_vnis"), F.col("v.l3").alias("l3_vnis"), *[f"has_{n}" for n, _ in R.NODE_WORDS], "isp_uplink", "ifs",
+        F.coalesce("direct", plain(F.col("implied")), F.lit("")).alias("vtep_ip"), "l2_vnis", "l3_vnis", *[f"has_{n}" for n, _ in R.NODE_WORDS], "isp_uplink", "ifs",
     )
 
 
@@ -238,10 +243,9 @@ def wide(configs: DataFrame) -> DataFrame:
 
 
 def named_values(configs: DataFrame) -> DataFrame:
-    """host, kind, value of network ids (vnis()), VRFs and OSPF areas, distinct."""
-    ids = configs.select("host", vnis().alias("v"))
-    ids = ids.select("host", F.lit("l2_vni").alias("kind"), F.explode("v.l2").alias("value")).unionByName(ids.select("host", F.lit("l3_vni").alias("kind"), F.explode("v.l3").alias("value")))
-    ids = ids.withColumn("value", F.col("value").cast("string"))
+    """host, kind, value of network ids (with_vnis()), VRFs and OSPF areas, distinct."""
+    kinds = lambda c, k: F.transform(c, lambda v: F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")))
+    ids = with_vnis(configs).select("host", F.inline(F.concat(kinds("l2_vnis", "l2_vni"), kinds("l3_vnis", "l3_vni"))))
     vrf = configs.select("host", F.explode(F.concat(*[all_of(p) for p in R.VRF])).alias("value"))
     vrf = vrf.select("host", F.lit("vrf").alias("kind"), F.regexp_replace("value", r"[{\s]+$", "").alias("value")).where((F.col("value") != "") & ~F.lower("value").isin(*R.VRF_SKIP))
     area = configs.select("host", F.lit("area").alias("kind"), F.explode(all_of(R.OSPF_AREA)).alias("value"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import config_rules as R
+from logloom.functions.session import once
 
 SALT = "logloom"
 #: Names in configurations - rule, pattern and what replaces it; a name in group 2 becomes a token.
@@ -44,16 +45,16 @@ def mask_names(texts: DataFrame) -> DataFrame:
     and full names removed. Meant for what sanitize() left; a null text stays null."""
     out = texts.select("id", F.col("text").alias("t0"))
     for i, (_, pattern, replacement) in enumerate(NAMES):
-        n = F.regexp_count(f"t{i}", F.lit(pattern))
+        n = F.coalesce(F.regexp_count(f"t{i}", F.lit(pattern)), F.lit(0))
         if replacement == "token":
-            found = F.arrays_zip(*[F.regexp_extract_all(f"t{i}", F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in (1, 2, 3)])
-            put = F.transform(found, lambda x: F.concat(x["g1"], F.lit(" user-"), token(F.lower(x["g2"]), "username"), x["g3"]))
+            groups = [F.regexp_extract_all(f"t{i}", F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
+            put = F.transform(F.arrays_zip(*groups).cast("array<struct<a: string, b: string, c: string>>"), lambda x: F.concat(x["a"], F.lit(" user-"), token(F.lower(x["b"]), "username"), x["c"]))
             pieces = F.zip_with(F.split(f"t{i}", pattern, -1), F.array_append(put, F.lit("")), lambda p, a: F.concat(p, F.coalesce(a, F.lit(""))))
-            new = F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(F.col(f"t{i}"))
+            new = F.when(F.col(f"n{i}") > 0, F.array_join(pieces, "")).otherwise(F.col(f"t{i}"))
         else:
             new = F.regexp_replace(f"t{i}", pattern, replacement)
-        out = out.withColumns({f"n{i}": n, f"t{i + 1}": new})
-    counts = [F.coalesce(F.col(f"n{i}"), F.lit(0)) for i in range(len(NAMES))]
+        out = once(once(out, **{f"n{i}": n}), **{f"t{i + 1}": new})
+    counts = [F.col(f"n{i}") for i in range(len(NAMES))]
     by_rule = F.map_filter(F.create_map(*[x for i, r in enumerate(NAMES) for x in (F.lit(r[0]), counts[i])]), lambda _, v: v > 0)
     return out.select("id", F.col(f"t{len(NAMES)}").alias("text"), (counts[0] + counts[1] + counts[2] + counts[3]).cast("bigint").alias("n"), by_rule.alias("by_rule"))
 

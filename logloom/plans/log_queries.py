@@ -79,6 +79,14 @@ def summary_bullets(spark, sf_dir):
     return events.summary(_classified(spark, sf_dir)).withColumn("ord", F.col("ord").cast("bigint"))
 
 
+def item_context(spark, sf_dir):
+    return events.item_context(events.action_items(_classified(spark, sf_dir)))
+
+
+def alert_class(spark, sf_dir):
+    return events.alert_class(_classified(spark, sf_dir))
+
+
 def strip_ansi(spark, sf_dir):
     return table(spark, sf_dir, "log_event").where(F.contains("message", F.lit("\x1b"))).select("seq", events.strip_escapes(F.col("message")).alias("clean"))
 
@@ -88,7 +96,7 @@ def short_hosts(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    own = (classify_events, severity_counts, category_counts, health_score, action_items, top_devices, top_offenders, events_top300, search_logs, search_totals, recovery_events, incident_events, summary_bullets, strip_ansi, short_hosts)
+    own = (classify_events, severity_counts, category_counts, health_score, action_items, top_devices, top_offenders, events_top300, search_logs, search_totals, recovery_events, incident_events, summary_bullets, item_context, alert_class, strip_ansi, short_hosts)
     return {f.__name__: f for f in own}
 
 
@@ -132,6 +140,11 @@ hg AS (SELECT score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WH
 def oracle_sql() -> dict[str, str]:
     c = classified_sql()
     rec = ", ".join(map(_q, rules.RECOVERIES))
+
+    def told(text: str, *values: str) -> str:
+        parts = text.split("{}")
+        return " || ".join([_q(parts[0]), *[x for v, p in zip(values, parts[1:], strict=True) for x in (v, _q(p))]])
+
     return {
         "classify_events": c + ' SELECT seq, "timestamp", hostname, appname, severity, severity_raw, category, description, action, message, sample_message FROM c',
         "severity_counts": c + " SELECT s.severity, count(c.seq) AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low'), ('info')) s(severity) LEFT JOIN c USING (severity) GROUP BY 1",
@@ -153,6 +166,9 @@ def oracle_sql() -> dict[str, str]:
  UNION ALL SELECT 3, 'Top categories: ' || string_agg(category || ' (' || n || ')', ', ' ORDER BY n DESC, f) FROM cc HAVING count(*) > 0
  UNION ALL SELECT "rank" + 3, upper(severity) || ' — ' || description || ' (' || "count" || '× on ' || CASE WHEN n_dev = 1 THEN one ELSE n_dev || ' devices' END || ')' FROM items WHERE "rank" <= 3
  UNION ALL SELECT 4, 'No critical, high, or medium severity issues detected.' FROM inc HAVING count(*) = 0""",
+        "item_context": c + _items_sql() + " SELECT severity, description, CASE WHEN n_dev = 0 THEN " + told(events.DEVICE_TEXTS[0]) + " WHEN n_dev = 1 THEN " + told(events.DEVICE_TEXTS[1], "devices") + " WHEN n_dev <= 3 THEN " + told(events.DEVICE_TEXTS[2], "n_dev", "replace(devices, '|', ', ')") + " ELSE " + told(events.DEVICE_TEXTS[3], "n_dev", "array_to_string(string_split(devices, '|')[1:5], ', ')")
+        + " END AS devices_text, CASE " + " ".join(f'WHEN "count" > {n} THEN ' + told(t, """format('{:,}', "count")""") for n, t in events.URGENCY_TEXTS) + " END AS urgency FROM items",
+        "alert_class": c + " SELECT alerts, CASE " + " ".join(f"WHEN alerts >= {n} THEN '{k}'" for n, k in events.ALERT_CLASSES) + " END AS class FROM (SELECT count(*) FILTER (severity IN ('critical', 'high')) AS alerts FROM c)",
         "strip_ansi": f"SELECT seq, regexp_replace(message, {_q(rules.ESCAPES)}, '', 'g') AS clean FROM log_event WHERE contains(message, chr(27))",
         "short_hosts": "SELECT split_part(coalesce(hostname, ''), '.', 1) AS host, count(*) AS n FROM log_event GROUP BY 1",
     }

@@ -162,7 +162,7 @@ def test_flags_and_findings_of_nodes(spark):
 def test_numbers_of_overlays(spark):
     frr = "interface vxlan10\n vni 10\ninterface x\n vni 11\nvrf T\n vni 49000\nexit-vrf\nvxlan vni 60000\nvxlan vni 60000\n"
     c = spark.createDataFrame([("f", "s", "frr", "", frr), ("e", "s", "eos", "", frr)], SCHEMA)
-    got = {r["host"]: (list(r["v"]["l2"]), list(r["v"]["l3"])) for r in c.select("host", facts.vnis().alias("v")).collect()}
+    got = {r["host"]: (list(r["l2_vnis"]), list(r["l3_vnis"])) for r in facts.with_vnis(c).collect()}
     assert got == {"f": ([10], [60000, 49000]), "e": ([], [60000])}
     assert c.select(facts.platform_guess(c["text"])).first()[0] == "unknown"
 
@@ -279,5 +279,10 @@ def test_lines(spark):
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("high", "a|b\nc", "<t>", ["x", "y"], None, "r")], "severity string, category string, title string, affected_devices array<string>, evidence string, rationale string")
     assert "a\\|b c" in reports.markdown("T", [("F", df)]) and "&lt;t&gt;" in reports.page("T", [("F", df)])
+    links = spark.createDataFrame([("a", "b", "r", 1.0), ("b", "c", "r", 1.0)], "source string, target string, rule string, confidence double")
+    nodes = spark.createDataFrame([("a", "firewall", True, "high"), ("d", "", False, "")], "host string, role string, has_bgp boolean, severity string")
+    text = reports.mermaid(links, nodes)
+    assert 'a[("a<br/>BGP")]' in text and 'd["d"]' in text and "style a fill:#ff7b72" in text and "only the first" not in text
+    assert "only the first 1" in reports.mermaid(links, limit=1) and "only the first 1" in reports.graphviz(links, nodes, limit=1) and "octagon" in reports.graphviz(links, nodes)
     reports.findings_csv(df, str(tmp_path / "f"))
     assert "high,a|b c,<t>,\"x, y\"" in "".join(f.read_text() for f in (tmp_path / "f").glob("*.csv"))

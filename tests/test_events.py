@@ -105,3 +105,26 @@ def test_needed_texts():
     for pattern, *_ in rules.CLASSIFICATION:
         words = needed(pattern)
         assert not words or all(any(w in s for w in words) for s in samples if re.search(pattern, s))
+
+
+def test_patterns_that_are_none(spark):
+    with pytest.raises(events.PatternError):
+        events.search(classified(spark, []), "a(")
+
+
+def test_context_of_items(spark):
+    rows = [("t", f"h{i % 5}", "kernel", "info", "kernel panic now") for i in range(12)] + [("t", "", "bgpd", "err", "BGP peer 10.0.0.1 down")]
+    got = {r["severity"]: (r["devices_text"], r["urgency"]) for r in events.item_context(events.action_items(classified(spark, rows))).collect()}
+    assert got["critical"][0].startswith("5 devices affected (h0, h1, h2, h3, h4…)") and "(12)" in got["critical"][1] and got["high"] == ("No specific devices captured.", "Low event rate (1) — may be transient.")
+    assert tuple(events.alert_class(classified(spark, rows)).first()) == (13, "crit") and tuple(events.alert_class(classified(spark, [])).first()) == (0, "ok")
+
+
+def test_analysis_as_one_value(spark):
+    import json
+
+    from logloom.sinks import reports
+
+    rows = [("t", "h1", "kernel", "info", "kernel panic now"), ("u", "h2", "app", "info", "hello")]
+    got = json.loads(reports.analysis_json(classified(spark, rows)))
+    assert (got["score"], got["severity_counts"]["critical"], got["action_items"][0]["rank"], len(got["events"]), got["events"][0]["severity"]) == (95, 1, 1, 2, "critical")
+    assert json.loads(reports.analysis_json(classified(spark, [])))["action_items"] == []
