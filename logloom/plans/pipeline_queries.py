@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.session import table
 from logloom.operators import lines, timestamps
+from logloom.plans import instant_sql
 from logloom.streaming import features
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +21,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LogEvent rows with the whole message and text of every entry."""
-    return lines.entries(lines.sources(table(spark, sf_dir, "raw_line"), table(spark, sf_dir, "log_event")))
+    """LogEvent rows with the whole text of every entry."""
+    found = lines.entries(lines.sources(table(spark, sf_dir, "raw_line"), table(spark, sf_dir, "log_event")))
+    return found.select("src_table", "stream", "first_seq", "last_seq", "severity_raw", "appname", "text")
+
+
+def p1_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LogEvent rows as they go on to classification: stamp, severity, program and whole message of every entry."""
+    found = lines.entries(lines.sources(table(spark, sf_dir, "raw_line"), table(spark, sf_dir, "log_event")))
+    return found.drop("text")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +37,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.feature_table(spark, sf_dir)
+    """One row per host; its cells as text, category/severity=events:repeats:latest instant."""
+    told = F.transform("features", lambda f: F.concat(f["category"], F.lit("/"), f["severity"], F.lit("="), F.concat_ws(":", *[f[c].cast("string") for c in ("n_events", "total_repeats", "last_us")])))
+    return features.feature_table(spark, sf_dir).withColumn("features", F.array_join(told, ","))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,4 +52,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_log_events, p2_found, p2_feature_rows, p3_found)}
+    return {f.__name__: f for f in (p1_found, p1_log_events, p1_messages, p2_found, p2_feature_rows, p3_found)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return instant_sql.entry_queries() | instant_sql.queries()
