@@ -11,6 +11,7 @@ from logloom.functions.hosts import host_zones, norm_word
 from logloom.functions.session import sized, stored, table
 from logloom.llm import credentials, leaks, mixing, near, reading, runs
 from logloom.operators import timestamps
+from logloom.plans import instant_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,6 +99,10 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p4_found, p5_found, p5_redacted, p6_found, p6_links, p7_found, p7_places, p7_cleaned, p8_selection, p8_shares, p8_kept, p9_found, p9_levels)}
 
 
+RUNS = """, ev AS (SELECT DISTINCT a.host, a.us, a.row_id AS id, coalesce(nullif(lower(trim(category)), ''), 'other') AS category FROM att a JOIN classified_event e ON a.src = 'classified_event' AND a.row_id = e.event_id WHERE a.host IS NOT NULL AND a.us IS NOT NULL),
+ st AS (SELECT *, CASE WHEN category = lag(category) OVER w AND us - lag(us) OVER w <= 600000000 THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY host ORDER BY us, id)),
+ gr AS (SELECT *, sum(fresh) OVER (PARTITION BY host ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS g FROM st)
+ SELECT host AS hostname, any_value(category) AS category, arg_min(id, (us, id)) AS first_event_id, arg_max(id, (us, id)) AS last_event_id, count(*) AS n_events, max(us) - min(us) AS duration_us FROM gr GROUP BY host, g HAVING count(*) >= 3"""
 NEAR = """WITH t AS (SELECT 'log_event' AS src_table, seq AS k, message AS txt FROM log_event WHERE NOT coalesce(appname = 'syslog' AND "timestamp" = '', false)
  UNION ALL SELECT 'action_item', item_id, array_to_string(list_filter(sample_messages, lambda x: x IS NOT NULL), ' ') FROM action_item),
  w AS (SELECT src_table, k, lower(unnest(regexp_extract_all(txt, '[A-Za-z0-9]+'))) AS w FROM t),
@@ -114,6 +119,7 @@ LEAKS = """WITH i AS (SELECT item_id, list_transform(regexp_extract_all(item_tex
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": instant_sql.instants() + RUNS,
         "p6_found": NEAR,
         "p6_links": NEAR.replace(" SELECT o.src_table", ", pr AS (SELECT o.src_table", 1) + """),
  own AS (SELECT src_table, k, string_agg(w || ' ' || m, ',' ORDER BY w) AS bag FROM c GROUP BY ALL), cl AS (SELECT *, min(k) OVER (PARTITION BY src_table, bag) AS ck, count(*) OVER (PARTITION BY src_table, bag) AS copies FROM own),
