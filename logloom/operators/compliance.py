@@ -44,9 +44,10 @@ def check(configs: DataFrame, rules: tuple = R.COMPLIANCE) -> DataFrame:
 
 
 def rollup(checks: DataFrame) -> DataFrame:
-    """rule_id, n_pass, n_fail, failing ARRAY<STRUCT<device, reason>> in order of devices: as long as the fleet at most."""
+    """rule_id, n_pass, n_fail, percent passed, failing ARRAY<STRUCT<device, reason>> in order of devices: as long as the fleet at most."""
     failing = F.array_sort(F.collect_list(F.when(~F.col("passed"), F.struct("device", "reason"))))
-    return checks.groupBy("rule_id").agg(F.count_if("passed").alias("n_pass"), F.count_if(~F.col("passed")).alias("n_fail"), failing.alias("failing"))
+    rows = checks.groupBy("rule_id").agg(F.count_if("passed").alias("n_pass"), F.count_if(~F.col("passed")).alias("n_fail"), failing.alias("failing"))
+    return rows.withColumn("percent", F.call_function("div", 200 * F.col("n_pass") + F.col("n_pass") + F.col("n_fail"), 2 * (F.col("n_pass") + F.col("n_fail"))))
 
 
 def totals(checks: DataFrame) -> DataFrame:

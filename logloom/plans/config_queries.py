@@ -20,9 +20,14 @@ def _configs(spark, sf_dir):
     return fleet.configs(spark, sf_dir)
 
 
+def _stored_configs(spark, sf_dir):
+    """The fleet's texts, spread over all tasks: few bytes may be much work for patterns."""
+    return stored(_configs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host"), "configs")
+
+
 def _nodes(spark, sf_dir):
     """Facts of the fleet, from one reading of its texts each for devices and interfaces."""
-    return stored(facts.nodes(stored(_configs(spark, sf_dir), "configs")), "nodes")
+    return stored(facts.nodes(_stored_configs(spark, sf_dir)), "nodes")
 
 
 def _sites(spark, sf_dir):
@@ -184,7 +189,8 @@ def fleet_search(spark, sf_dir):
 
 
 def fleet_search_totals(spark, sf_dir):
-    return fleet_search(spark, sf_dir).groupBy("pattern").agg(F.count("*").alias("devices"), F.sum("match_count").alias("matches"))
+    hits = fleet_search(spark, sf_dir).groupBy("pattern").agg(F.count("*").alias("devices"), F.sum("match_count").alias("matches"))
+    return hits.crossJoin(F.broadcast(_configs(spark, sf_dir).agg(F.count("*").alias("checked"))))  # one row
 
 
 def fingerprints(spark, sf_dir):
@@ -225,7 +231,13 @@ def asn_holders(spark, sf_dir):
 
 
 def remote_as_top(spark, sf_dir):
-    return facts.bgp_peers(_configs(spark, sf_dir)).where("asn is not null").groupBy("asn").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "asn").limit(15)
+    """The systems with most sessions, and who that is: a carrier, one of the fleet's own, or someone else."""
+    configs = stored(_configs(spark, sf_dir), "configs")
+    known = segments.carriers(segments.wan_of(configs), configs).where("asn != ''").groupBy(F.col("asn").cast("bigint").alias("asn")).agg(F.min("carrier").alias("carrier"))
+    own = facts.wide(configs).where("local_asn != ''").select(F.col("local_asn").cast("bigint").alias("asn")).distinct().withColumn("own", F.lit(True))
+    rows = facts.bgp_peers(configs).where("asn is not null").groupBy("asn").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "asn").limit(15)
+    who = F.coalesce("carrier", F.when(F.col("own"), "internal/iBGP"), F.lit("external (unknown)"))
+    return rows.join(known, "asn", "left").join(own, "asn", "left").select("asn", "n", who.alias("identity"))
 
 
 def missing_services(spark, sf_dir):
@@ -240,7 +252,7 @@ def missing_services(spark, sf_dir):
 
 def site_facts(spark, sf_dir):
     """By site, what runs anywhere in it, sums over its devices, distinct public addresses, devices that lead out and old software."""
-    configs = stored(_configs(spark, sf_dir), "configs")
+    configs = _stored_configs(spark, sf_dir)
     nodes, wide = facts.nodes(configs), facts.wide(configs)
     old = facts.lifecycle(wide.select("host", "platform", "version")).select("host", facts.is_risky(F.col("status")).alias("risky"))
     rows = nodes.select("host", "site_id", "function", *[f"has_{n}" for n, _ in R.NODE_WORDS], F.size("peers").alias("n_peers"), F.size("ifs").alias("n_ifs")).join(wide.select("host", "isis", "bfd", "n_static_routes", "n_descriptions"), "host").join(old, "host")

@@ -314,18 +314,19 @@ ep AS (SELECT host, service, string_agg(v, ',' ORDER BY pos) AS endpoints FROM (
         "edge_candidates": DEV + _wide() + _addresses() + _peers() + _edges() + " SELECT DISTINCT source, target, rule, confidence FROM cand",
         "edges_best": DEV + _wide() + _addresses() + _peers() + _edges() + " SELECT source, target, rule, confidence, evidence, n_rules FROM best",
         "compliance_checks": DEV + _checks() + " SELECT rule_id, severity, device, passed, reason FROM ck",
-        "compliance_rollup": DEV + _checks() + " SELECT rule_id, count(*) FILTER (passed) AS n_pass, count(*) FILTER (NOT passed) AS n_fail, coalesce(string_agg(device || ': ' || reason, '|' ORDER BY device, reason) FILTER (NOT passed), '') AS failing FROM ck GROUP BY 1",
+        "compliance_rollup": DEV + _checks() + " SELECT rule_id, count(*) FILTER (passed) AS n_pass, count(*) FILTER (NOT passed) AS n_fail, floor(100 * count(*) FILTER (passed) / count(*) + 0.5)::BIGINT AS percent, coalesce(string_agg(device || ': ' || reason, '|' ORDER BY device, reason) FILTER (NOT passed), '') AS failing FROM ck GROUP BY 1",
         "compliance_totals": DEV + _checks() + " SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, CASE WHEN count(*) > 0 THEN (1000 * count(*) FILTER (passed)) // count(*) ELSE 0 END AS per_mille FROM ck",
         "fleet_search": DEV + f""", se AS ({search}), sm AS (SELECT *, list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS b FROM (SELECT *, unnest(range(1, least(len(m), 5) + 1)) AS i FROM se WHERE len(m) > 0)),
  sn AS (SELECT pattern, device, string_agg(replace(substr(txt, greatest(b - 40, 0) + 1, least(b + length(m[i]) + 40, length(txt)) - greatest(b - 40, 0)), chr(10), ' ⏎ '), '|' ORDER BY i) AS snippets FROM sm GROUP BY 1, 2)
  SELECT pattern, device, len(m) AS match_count, snippets FROM se JOIN sn USING (pattern, device)""",
-        "fleet_search_totals": DEV + f" SELECT pattern, count(*) AS devices, sum(len(m))::BIGINT AS matches FROM ({search}) WHERE len(m) > 0 GROUP BY 1",
+        "fleet_search_totals": DEV + f" SELECT pattern, count(*) AS devices, sum(len(m))::BIGINT AS matches, (SELECT count(*) FROM dev) AS checked FROM ({search}) WHERE len(m) > 0 GROUP BY 1",
         "role_counts": DEV + " SELECT split_part(host, '-', 2) AS role, count(*) AS n FROM dev GROUP BY 1",
         "version_counts": DEV + _wide() + " SELECT version, count(*) AS n FROM wide WHERE version <> '' GROUP BY 1",
         "composition": DEV + _wide() + """ SELECT coalesce(nullif("function", ''), 'unknown') AS role, count(*) AS n, coalesce(string_agg(DISTINCT nullif(version, ''), ',' ORDER BY nullif(version, '')), '') AS versions, coalesce(string_agg(DISTINCT nullif(model, ''), ',' ORDER BY nullif(model, '')), '') AS models, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts FROM wide GROUP BY 1""",
         "bgp_split": DEV + _wide() + _peers() + """ SELECT d.site_id, count(*) AS sessions, count(*) FILTER (i.asn IS NOT NULL) AS ibgp, count(*) FILTER (i.asn IS NULL) AS ebgp FROM peers p JOIN dev d USING (host) LEFT JOIN (SELECT DISTINCT local_asn::BIGINT AS asn FROM wide WHERE local_asn <> '') i ON i.asn = p.asn WHERE p.asn IS NOT NULL GROUP BY 1""",
         "asn_holders": DEV + _wide() + " SELECT local_asn, count(*) AS n, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts FROM wide WHERE local_asn <> '' GROUP BY 1",
-        "remote_as_top": DEV + _peers() + " SELECT asn, count(*) AS n FROM peers WHERE asn IS NOT NULL GROUP BY 1 ORDER BY n DESC, asn LIMIT 15",
+        "remote_as_top": DEV + _wide() + _addresses() + _peers() + _interfaces() + _wan() + _carriers() + """, ra AS (SELECT asn, count(*) AS n FROM peers WHERE asn IS NOT NULL GROUP BY 1 ORDER BY n DESC, asn LIMIT 15), cn AS (SELECT asn::BIGINT AS asn, min(carrier) AS carrier FROM (SELECT carrier, arg_min(asn, host) FILTER (asn IS NOT NULL) AS asn FROM cw GROUP BY 1) WHERE asn IS NOT NULL GROUP BY 1)
+ SELECT ra.asn, n, coalesce(carrier, CASE WHEN ra.asn IN (SELECT local_asn::BIGINT FROM wide WHERE local_asn <> '') THEN 'internal/iBGP' END, 'external (unknown)') AS identity FROM ra LEFT JOIN cn USING (asn)""",
         "missing_services": DEV + _wide() + endpoint + f""", ms AS (SELECT w.host, w.site_id, snmp_v2c, {", ".join(f"EXISTS (SELECT 1 FROM ep WHERE ep.host = w.host AND service IN ({names})) AS has_{n}" for n, names in (("ntp", "'ntp'"), ("syslog", "'syslog'"), ("aaa", "'radius', 'tacacs'")))} FROM wide w)
  SELECT site_id, count(*) AS devices, {", ".join(f"coalesce(string_agg(host, ',' ORDER BY host) FILTER ({c}), '') AS {n}" for n, c in (("no_ntp", "NOT has_ntp"), ("no_syslog", "NOT has_syslog"), ("no_aaa", "NOT has_aaa"), ("snmp_v2c", "snmp_v2c")))} FROM ms GROUP BY 1""",
         "facilities": "SELECT site_id, coalesce(f.city, 'Unknown city') AS city FROM site_manifest LEFT JOIN (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b, _ in R.FACILITIES) + ") f(code, city) ON f.code = lower(left(site_id, 3))",

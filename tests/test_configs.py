@@ -286,3 +286,12 @@ def test_reports(spark, tmp_path):
     assert "only the first 1" in reports.mermaid(links, limit=1) and "only the first 1" in reports.graphviz(links, nodes, limit=1) and "octagon" in reports.graphviz(links, nodes)
     reports.findings_csv(df, str(tmp_path / "f"))
     assert "high,a|b c,<t>,\"x, y\"" in "".join(f.read_text() for f in (tmp_path / "f").glob("*.csv"))
+
+
+def test_small_values(spark):
+    from logloom.functions import values
+
+    df = spark.createDataFrame([(" TRUE ", "Fra-1_x", "a" * 20 + "b" * 20), ("false", "a/../b", "short"), (None, "", None)], "f string, i string, t string")
+    got = df.select(values.flag(df["f"]), values.flag(df["f"], True), values.safe_id(df["i"]), values.head_and_tail(df["t"], 10)).collect()
+    assert [tuple(r)[:3] for r in got] == [(True, True, "fra-1_x"), (False, False, None), (False, True, None)]
+    assert got[0][3] == "a" * 7 + "\n\n... [middle truncated, original size 40 chars] ...\n\nbbb" and got[1][3] == "short" and got[2][3] is None
