@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.hosts import host
-from logloom.functions.session import stored
+from logloom.functions.session import sized, stored
 
 #: Owners from which, with SHARE of all owners, a literal counts as a placeholder.
 OWNERS, SHARE = 12, 0.02
@@ -222,11 +222,13 @@ def find(files: DataFrame, owners: int = OWNERS, share: float = SHARE) -> DataFr
     literal, text = F.col("literal"), F.col("text")
     bare = F.size(some(literal)) == 0  # nothing but one short run: all short runs are needed then
     confirmed = stored(confirmed.select("literal", F.explode(F.array_distinct(F.when(bare, runs(literal)).otherwise(some(literal)))).alias("key"), bare.alias("bare")), "confirmed")
-    keys = some(text)
+    texts = lambda keys: files.select("id", F.explode(F.array_distinct(keys)).alias("key"))
+    wanted_keys = lambda hit, label: sized(confirmed.where(hit).select("key").distinct(), label)
+    held = texts(some(text)).join(wanted_keys(~F.col("bare"), "secret-keys"), "key", "left_semi")
     if not confirmed.where("bare").isEmpty():
-        keys = F.concat(keys, F.filter(runs(text), lambda p: F.length(p) < RUN))
-    held = files.select("id", F.explode(F.array_distinct(keys)).alias("key"))
-    held = stored(held.join(confirmed.select("key").distinct(), "key", "left_semi"), "held")
+        short = texts(F.filter(runs(text), lambda p: F.length(p) < RUN)).join(wanted_keys(F.col("bare"), "secret-short-keys"), "key", "left_semi")
+        held = held.unionByName(short)
+    held = stored(held, "held")
     rarity = held.groupBy("key").agg(F.count("*").alias("n"))
     rarest = confirmed.join(rarity, "key").groupBy("literal").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
     wanted = held.join(rarest, "key").groupBy("id").agg(F.collect_set("literal").alias("literals"))
