@@ -134,14 +134,19 @@ def rules_of(lines: DataFrame) -> DataFrame:
     return named.withColumn("rule", F.when(cut, DEEP).otherwise(F.col("rule"))).where("rule is not null")
 
 
-def marked(lines: DataFrame) -> DataFrame:
-    """lines(src_table, stream, seq, line) with blank, opens and, for lines that open an entry, ts, sev, app, msg."""
+def opened(lines: DataFrame) -> DataFrame:
+    """lines(src_table, stream, seq, line), cleaned, with rule and opens: whether the line opens an entry."""
     clean = lines.select("src_table", F.coalesce("stream", F.lit("")).alias("stream"), "seq", F.regexp_replace(F.regexp_replace("line", r"^\ufeff", ""), r"\r+$", "").alias("line"))
     rules = sized(rules_of(clean), "line-rules")
     found = clean.withColumn("sig", signature(F.col("line"))).join(rules, "sig", "left")
     line, rule = F.col("line"), F.col("rule")
     found = found.withColumn("rule", F.when(rule == DEEP, rare(line, lambda x: _resolve(shape(x)))).otherwise(rule))
-    found = found.withColumn("opens", F.when(rule.isNull(), False).otherwise(rare(line, lambda x: _opens(x, rule))))
+    return found.withColumn("opens", F.when(rule.isNull(), False).otherwise(rare(line, lambda x: _opens(x, rule))))
+
+
+def marked(found: DataFrame) -> DataFrame:
+    """opened() with blank and, for lines that open an entry, rule and head(ts, sev, app, msg)."""
+    line, rule = F.col("line"), F.col("rule")
 
     def fields(x: Column) -> Column:
         pri = _by_rule(x, rule, "pri", {}).try_cast("int")
@@ -162,7 +167,7 @@ def marked(lines: DataFrame) -> DataFrame:
     # A line inside an entry may be a field of a JSON entry that spans lines; whether it is one shows when entries are whole.
     head = F.when(F.col("opens"), rare(line, fields)).when(line.rlike(r'^\s*"\w+"\s*:\s*"'), rare(line, inner))
     blank = F.coalesce(F.btrim(line, F.lit(BLANKS)) == "", F.lit(True))
-    row = F.struct("src_table", "stream", "seq", "line", blank.alias("blank"), F.when(F.col("opens"), rule).alias("rule"), head.alias("head"))
+    row = F.struct("src_table", "stream", "block", "seq", "line", blank.alias("blank"), F.when(F.col("opens"), rule).alias("rule"), head.alias("head"))
     return found.select(F.inline_outer(F.array(row)))
 
 
@@ -175,16 +180,18 @@ def entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     severity_raw is info where the entry states none, appname null. text holds all lines of an entry and is as large as
     the entry is; message is the text behind the frame of its first line and the lines after it (of a JSON entry its
     message, and the lines behind its end). Both cost nothing where they aren't selected. Further columns are ignored."""
-    rows = marked(lines).withColumn("block", F.floor(F.col("seq") / block))
+    found = opened(lines).withColumn("block", F.floor(F.col("seq") / block))
+    rows = marked(found)
     here = Window.partitionBy("src_table", "stream", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.when(F.col("rule").isNotNull(), F.col("seq"))
-    rows = rows.withColumn("first_seq", F.last(opened, ignorenulls=True).over(here))
+    at_open = F.when(F.col("rule").isNotNull(), F.col("seq"))
+    rows = rows.withColumn("first_seq", F.last(at_open, ignorenulls=True).over(here))
     at = lambda name: F.min(F.when(F.col(f"head.{name}").isNotNull(), F.struct("seq", F.col(f"head.{name}").alias("v")))).alias(name)
     own = F.first(F.when(F.col("rule").isNotNull(), F.struct("rule", "head")), ignorenulls=True).alias("own")
     text = F.collect_list(F.struct("seq", F.coalesce("line", F.lit("")).alias("line"))).alias("lines")
     parts = rows.groupBy("src_table", "stream", "block", "first_seq").agg(F.max(F.when(~F.col("blank"), F.col("seq"))).alias("last_seq"), own, *map(at, ("ts", "sev", "app", "msg")), text)
     over = Window.partitionBy("src_table", "stream").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = parts.groupBy("src_table", "stream", "block").agg(F.max("first_seq").alias("open_end"))
+    # From the lines, not from the parts: a row per block leaves each task, and no field is read for it.
+    ends = found.groupBy("src_table", "stream", "block").agg(F.max(F.when(F.col("opens"), F.col("seq"))).alias("open_end"))
     ends = ends.select("src_table", "stream", "block", F.last("open_end", ignorenulls=True).over(over).alias("carried"))
     parts = parts.join(ends, ["src_table", "stream", "block"]).withColumn("first_seq", F.coalesce("first_seq", "carried")).where("first_seq is not null")
     least = lambda name: F.min(name).alias(name)
