@@ -7,6 +7,7 @@ At a meeting
 
 - the index lists the smaller sets in blocks by the position at which the element stands in them, each block by size; blocks
   that stand too far back to reach the threshold are skipped, and so are sizes outside of it;
+- a set comes only where a partner of a fitting size may be, with enough behind the shared element in both;
 - a set much like one before it, its leader, takes over the leader's candidates and their overlaps. What the leader's overlap
   and the difference of the two sets keep below the threshold is skipped unseen, the rest is corrected by the few elements
   in which the two differ, and only sets behind the leader are looked for in the index.
@@ -32,6 +33,8 @@ THRESHOLD, LEAST_WORDS = 0.8, 40
 FREQUENT = 0.002
 #: Sets of a meeting that one task takes.
 CHUNK = 2_000
+#: Sizes up to this factor apart are one step when partners of a fitting size are looked for.
+STEP = 1.02
 #: Leaders that a meeting remembers, and sets by which one may lie back.
 LEADERS, REACH = 8, 256
 
@@ -199,11 +202,20 @@ def class_pairs(found: DataFrame, threshold: float = THRESHOLD, chunk: int = CHU
     alone = F.col("size") - F.size("xs")
     head = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1 - alone
     short = F.col("size") - F.ceil(2 * threshold / (1 + threshold) * F.col("size") - 1e-9).cast("int") + 1
-    heads = sets.where(head > 0).select("id", short.alias("short"), alone.alias("alone"), F.posexplode(F.slice("xs", F.lit(1), F.least(head, F.size("xs")))).alias("i", "element"))
-    heads = heads.select("id", "short", (F.col("i") + F.col("alone")).alias("at"), "element")
+    heads = sets.where(head > 0).select("id", "size", short.alias("short"), alone.alias("alone"), F.posexplode(F.slice("xs", F.lit(1), F.least(head, F.size("xs")))).alias("i", "element"))
+    heads = heads.select("id", "short", "size", (F.col("i") + F.col("alone")).alias("at"), "element")
+    # A set of n elements with the shared one at p and a partner of m with it at q have n - p and m - q in common at most, and
+    # c * (n + m) at least. So m is limited by n and p, and m - q - c * m, what the partner has to spare, reaches c * n. By
+    # element and step of size the most that any set has to spare: a few hundred steps at most, whatever the element.
+    c, size, at = threshold / (1 + threshold), F.col("size"), F.col("at")
+    heads = heads.withColumns({"step": F.floor(F.log(size) / math.log(STEP)).cast("int"), "spare": size * (1 - c) - at})
+    steps = heads.groupBy("element", "step").agg(F.count("*").alias("n"), F.max("spare").alias("spare"), F.count_if(at < F.col("short")).alias("front"))
     # A meeting needs a set that has the element far enough in front for those that aren't smaller.
-    shared = heads.groupBy("element").agg(F.count("*").alias("n"), F.count_if(F.col("at") < F.col("short")).alias("front")).where("n > 1 and front > 0").drop("front")
-    live = heads.drop("short").join(shared, "element")
+    steps = steps.withColumns({"low": F.pow(F.lit(STEP), "step") * (1 - 1e-6), "high": F.pow(F.lit(STEP), F.col("step") + 1) * (1 + 1e-6)})
+    shared = steps.groupBy("element").agg(F.sum("n").alias("n"), F.sum("front").alias("front"), F.collect_list(F.struct("step", "n", "spare", "low", "high")).alias("steps")).where("n > 1 and front > 0").drop("front")
+    limits = {"least": threshold * size - 1e-6, "most": F.least(size / threshold, (size - at) / c - size) + 1e-6, "asked": c * size - 1e-6}
+    fits = lambda s: (s["spare"] >= F.col("asked")) & (s["low"] <= F.col("most")) & (s["high"] >= F.col("least")) & ((s["step"] != F.col("step")) | (s["n"] > 1))
+    live = heads.drop("short", "spare").join(shared, "element").withColumns(limits).where(F.exists("steps", fits)).select("id", "element", "at", "n")
     pieces = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("id"), pieces).cast("int")
     live = live.select("id", "element", "at", own.alias("chunk"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("other"))
